@@ -102,7 +102,7 @@ class LanguageModel:
     """Sorted languages and their log-probability matrix and log priors."""
 
     def __init__(self, langs: list[str], matrix: np.ndarray, prior: np.ndarray):
-        self.langs, self.matrix, self.prior = langs, matrix, prior
+        self.langs, self.matrix, self.prior = langs, matrix.astype(np.float64), prior
 
     def score_texts(self, column: pa.Array) -> tuple[list[str], list[float]]:
         n = len(column)
@@ -113,10 +113,10 @@ class LanguageModel:
             total = self.prior.astype(np.float64).copy()
             for at in range(0, len(f), PASS_CHARS):
                 found = _buckets(f[at : at + PASS_CHARS + max(ORDERS) - 1])
-                total += self.matrix.take(found, axis=0).sum(axis=0, dtype=np.float64)
+                total += np.ones(len(found)) @ self.matrix.take(found, axis=0)
                 if at + PASS_CHARS < len(f):  # the overlap's own n-grams come again in the next piece
                     again = _buckets(f[at + PASS_CHARS : at + PASS_CHARS + max(ORDERS) - 1])
-                    total -= self.matrix.take(again, axis=0).sum(axis=0, dtype=np.float64)
+                    total -= np.ones(len(again)) @ self.matrix.take(again, axis=0)
             best = int(np.argmax(total))
             names[row] = self.langs[best]
             scores[row] = float(1.0 / np.exp(total - total[best]).sum())
