@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locatext.llm import language_id
+from locatext.llm import bpe, language_id
 from locatext.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit_unheld(docs)
     found = language_id.identify(docs, model)
     return found.select("doc_id", F.coalesce(language_id.held_out(), F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
+def byte_vocabulary() -> str:
+    """Path of the 50k byte-level vocabulary (a parameter of the operator)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), byte_vocabulary())
