@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locatext.llm import bpe, chat, exact_dedup, language_id, pii
+from locatext.llm import bpe, chat, exact_dedup, html_extract, language_id, pii
 from locatext.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id,
        count(*) OVER (PARTITION BY norm) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
 FROM (SELECT doc_id, {_NORM} AS norm FROM documents)"""
+
+
+@query
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
