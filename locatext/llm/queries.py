@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locatext.llm import bpe, chat, exact_dedup, html_extract, language_id, pii
+from locatext.llm import bpe, chat, exact_dedup, html_extract, language_id, pii, warc
 from locatext.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,9 @@ FROM (SELECT doc_id, {_NORM} AS norm FROM documents)"""
 @query
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    return made.withColumn("block", F.col("block").cast("string"))
