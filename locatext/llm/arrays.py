@@ -69,13 +69,13 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         lo = hi
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, offs: np.ndarray, table: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of all rows, and for each row the index of its
     first word (one more entry at the end). Words never cross rows."""
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    inside = IS_WORD[buf]
+    inside = table[buf]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offs] = True
     before = np.empty(n, dtype=bool)
