@@ -45,7 +45,8 @@ def brute(docs, items, least=5, need=0.5):
     out = set()
     for d, t in docs:
         for i, b in items:
-            w, x = plain_words(b), plain_words(t)
+            ids = {}
+            w, x = ([ids.setdefault(v, len(ids) + 1) for v in plain_words(y)] for y in (b, t))
             if w:
                 covered = sum(k for *_, k in D.tiles(w, x, min(least, len(w))))
                 if covered >= need * len(w):
