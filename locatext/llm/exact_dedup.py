@@ -115,7 +115,7 @@ def mark(docs: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, max_
 
 
 def keep_largest_id(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Rows that repeat the id
-    that stays are all kept where their texts are the group's."""
+    """The rows of ``docs`` that stay, with all their columns. Where rows repeat an id
+    that stays, all of them stay."""
     stay = mark(docs, id_col, **options).where("kept").select(F.col(id_col).alias("__stay")).distinct()
     return docs.join(stay, docs[id_col].eqNullSafe(stay["__stay"]), "left_semi")
