@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from locatext.registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+for _name in ("text", "search", "relations", "measures", "ranking", "graphs", "folds", "resolution", "answers", "extensions"):
+    import_module(f"locatext.plans.{_name}")
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
