@@ -47,3 +47,27 @@ def state_of(events: DataFrame, key: str, order: list[str], state: str) -> DataF
 def agree(values: Column) -> Column:
     """ANSWERED with one value, CONFLICT with several, NONE without."""
     return F.when(F.size(values) == 0, "NONE").when(F.size(values) == 1, "ANSWERED").otherwise("CONFLICT")
+
+
+def effective(rows: DataFrame, lineage: list[str], date: str) -> DataFrame:
+    """Every row with the reason it counts or not among the versions of its lineage.
+    Lineage figures are aggregated first and joined back, so a hot lineage is a skewed
+    join (which adaptive execution splits) and not one window."""
+    figures = rows.groupBy(*lineage).agg(F.count("*").alias("__n"), F.max(date).alias("__newest"), F.bool_or(F.col(date).isNull()).alias("__undated"))
+    ties = rows.groupBy(*lineage, date).agg(F.count("*").alias("__ties")).withColumnRenamed(date, "__day")
+    newest = figures.join(ties, [*lineage]).where(F.col("__day") == F.col("__newest")).select(*lineage, "__n", "__newest", "__undated", "__ties")
+    reason = (
+        F.when(F.col("__n") == 1, "ONLY_VERSION")
+        .when(F.col("__undated") | F.col("__newest").isNull(), "AMBIGUOUS")
+        .when(F.col(date) < F.col("__newest"), "SUPERSEDED")
+        .when(F.col("__ties") > 1, "DUPLICATE_NEWEST")
+        .otherwise("NEWEST")
+    )
+    return rows.join(newest, lineage, "left").withColumn("reason", reason)
+
+
+def newest_label(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """Newest of labels that are all integers or all single letters; else null."""
+    x = F.col(label)
+    grouped = rows.groupBy(key).agg(F.every(x.rlike("^[0-9]+$")).alias("ints"), F.every(x.rlike("^[A-Z]$")).alias("letters"), F.max(F.expr(f"try_cast({label} AS INT)")).alias("top"), F.max(x).alias("last"))
+    return grouped.select(key, F.when(F.col("ints"), F.col("top").cast("string")).when(F.col("letters"), F.col("last")).alias("newest"))
