@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 class _Visible(HTMLParser):
@@ -46,7 +47,7 @@ def visible_text(page: str | None) -> str:
     return "\n".join(x for line in "".join(reader.parts).split("\n") if (x := " ".join(line.split())))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def visible_text_udf(pages: pd.Series) -> pd.Series:
     return pages.map(visible_text)
 
