@@ -6,17 +6,21 @@ sets at similarity 0.8 differ in about K/5 of the places; pairs that differ in a
 pigeonhole principle some chunk i holds at most e_i differences when the (e_i + 1) sum
 to T + 1 or more. So each chunk is entered once for every choice of e_i places to be
 left out (``index_keys``), and pairs that share a key are the candidates. At 0.8 a pair
-lies beyond T with a probability of about 1e-5.
+lies beyond T with a probability of about 3e-5.
 
 Nothing is ever paired up within a bucket:
 1. sets that are equal are one class, represented by its smallest id (combined before
    the shuffle, however large the class);
-2. in each bucket every class is checked against the bucket's smallest class only, on
-   full sets; confirmed links make components;
-3. buckets that still hold several components go on: their classes meet in blocks
-   with their signatures (a large bucket is cut into blocks, and every two blocks are
-   one task), and only pairs of different components within T places are checked.
-What is left after step 2 is little, as copies of one text have become one component."""
+2. in each bucket every class is compared, on full sets, with one pivot only: the class
+   that meets most others, which in a group of edited copies is nearest to their source;
+3. two classes that are near the pivot are linked only if they share edits: with D the
+   symmetric difference from the pivot, similarity 0.8 means 9 |Dx xor Dy| <= |x| + |y|,
+   and pairs without a common edit that are this close are both linked to the pivot
+   already. Edits are joined by prefix filtering, rarest first, so copies with edits of
+   their own never meet. Similarity is a metric: what is at 0.6 or more to the pivot can
+   only be linked to what is at 0.4 or more, so it is done with this bucket;
+4. the classes far from the pivot get a second pivot, and what is far from both meets
+   block by block on signatures, where only pairs within T places are checked further."""
 
 from __future__ import annotations
 
@@ -36,8 +40,10 @@ K, BITS = 80, 16
 #: Places in which a pair may differ to be surely found.
 T = 31
 CHUNK = 5
-SIMILARITY = (80, 100)
-#: Classes of an unresolved bucket in one block.
+SIMILARITY, NEAR, CLOSE = 80, 60, 40
+#: Pivots a bucket gets before its remaining classes meet in blocks.
+PIVOTS = 2
+#: Classes of an unresolved bucket or of a pivot's neighbourhood in one block.
 BLOCK = 2048
 
 
@@ -123,16 +129,77 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["key", "cls"])
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        good = []
-        for i, (x, y) in enumerate(zip(batch.column("ha"), batch.column("hb"), strict=True)):
+        rows: list[list] = [[], [], [], [], []]
+        for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
             x, y = x.values.to_numpy(), y.values.to_numpy()
             both = len(np.intersect1d(x, y, assume_unique=True))
-            if SIMILARITY[1] * both >= SIMILARITY[0] * (len(x) + len(y) - both):
-                good.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
+            union = len(x) + len(y) - both
+            linked, near, close = (100 * both >= s * union for s in (SIMILARITY, NEAR, CLOSE))
+            for c, v in zip(rows, (len(y), linked, near, close, np.setxor1d(x, y, assume_unique=True) if close else None), strict=True):
+                c.append(v)
+        kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))], names=_COMPARED.replace(" long", "").replace(" boolean", "").replace(" array<long>", "").split(", "))
+
+
+_COMPARED = "a long, b long, n long, linked boolean, near boolean, close boolean, edits array<long>"
+
+
+def common_edits(rows: list[tuple[int, int, int, np.ndarray]]) -> set[tuple[int, int]]:
+    """Linked pairs of different components among classes around one pivot, given as
+    (class, component, set size, edits): those whose common edits o satisfy
+    18 o >= g(x) + g(y) with g = 9 |edits| - size. Exact, by prefix filtering: a pair
+    that needs o common edits shares one of each side's |edits| - o + 1 rarest."""
+    if len(rows) < 2:
+        return set()
+    flat = np.concatenate([r[3] for r in rows])
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), dtype=np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    ranks = np.split(rank[code], np.cumsum([len(r[3]) for r in rows])[:-1])
+    frequent = np.sort(count)  # by rank
+    g = [9 * len(r[3]) - r[2] for r in rows]
+    low = sorted({r[1]: v for v, r in sorted(zip(g, rows, strict=True), key=lambda x: -x[0])}.items(), key=lambda x: x[1])[:2]
+    index: dict[int, list[int]] = {}
+    found: set[tuple[int, int]] = set()
+    for i, (cls, component, _, edits) in enumerate(rows):
+        other = next((v for c, v in low if c != component), None)
+        if other is None:
+            continue
+        need = max(1, -(-(g[i] + other) // 18))
+        mine = ranks[i] = np.sort(ranks[i])
+        seen: set[int] = set()
+        for r in mine[: len(edits) - need + 1].tolist() if need <= len(edits) else ():
+            if frequent[r] < 2:
+                continue
+            for j in index.get(r, ()):
+                if j not in seen and rows[j][1] != component:
+                    seen.add(j)
+                    if 18 * len(np.intersect1d(mine, ranks[j], assume_unique=True)) >= g[i] + g[j]:
+                        found.add((min(cls, rows[j][0]), max(cls, rows[j][0])))
+            index.setdefault(r, []).append(i)
+    return found
+
+
+def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``common_edits`` of rows sorted by pivot and pair of blocks."""
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        pairs = common_edits(rows)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+    now, rows = None, []
+    for batch in batches:
+        edits = batch.column("edits")
+        for k, r in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "i", "j", "b", "component", "n")), strict=True)):
+            if r[:3] != now:
+                if rows:
+                    yield flush(rows)
+                now, rows = r[:3], []
+            rows.append((*r[3:], edits[k].values.to_numpy()))
+    if rows:
+        yield flush(rows)
 
 
 def _hashes(k: int):
@@ -145,14 +212,14 @@ def _hashes(k: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: ids) whose full shingle sets are similar enough. Only
-    texts that are in some pair are read into sets."""
+def compared(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``pairs`` (a, b: ids) compared on full shingle sets. Only texts that are in some
+    pair are read into sets."""
     members = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = docs.join(members, "id", "left_semi").mapInArrow(_hashes(k), "id long, h array<long>")
     sets = written(sets, "near-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
-    return both.mapInArrow(_overlaps, "a long, b long")
+    return written(both.mapInArrow(_compare, _COMPARED), "near-compared")
 
 
 def components(links: DataFrame, label: str = "near-components", rounds: int = 60) -> DataFrame:
@@ -218,25 +285,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", shingle: int = 4) -
     classes = written(known.groupBy(*code).agg(F.min("id").alias("cls"), F.min("sig").alias("sig")), "near-classes")
 
     index = classes.select("cls", "sig").mapInArrow(_keys, "key long, cls long")
-    buckets = index.groupBy("key").agg(F.min("cls").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    buckets = index.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = written(index.join(buckets, "key"), "near-buckets")
-    pairs = shared.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
+    degree = shared.groupBy("cls").agg(F.sum("size").alias("degree"))
+    rest = shared.join(degree, "cls").select("key", "cls", "degree")
     texts = src.where("id IS NOT NULL")
-    links = written(confirmed(written(pairs, "near-pairs"), texts, shingle), "near-links")
-    found = components(links)
-
-    # Buckets of several components that the pivot alone does not tell apart.
-    named = shared.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("key", "size", "cls", F.coalesce("component", "cls").alias("component"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("held")).where("x <> y AND held > 2").select("key", "held")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("held") / BLOCK)).cast("int")
-    todo = named.join(open_keys, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    # Each block is met by every other once: (i, j) with i <= j, one of them its own.
-    todo = todo.select("key", "cls", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    todo = todo.select("key", "cls", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    todo = todo.join(classes.select("cls", "sig"), "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = todo.mapInArrow(_meet, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    late = confirmed(written(more, "near-more"), texts, shingle)
-    found = components(links.unionByName(late))
+
+    links = around = None
+    for _ in range(PIVOTS):
+        top = rest.groupBy("key").agg(F.max(F.struct("degree", (-F.col("cls")).alias("minus"))).alias("top"), F.count("*").alias("held")).where("held > 1")
+        named = written(rest.join(top.select("key", (-F.col("top.minus")).alias("pivot")), "key").where("cls <> pivot"), "near-named")
+        known = compared(written(named.select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct(), "near-pairs"), texts, shingle)
+        rest = named.join(known.where("near").select(F.col("a").alias("pivot"), F.col("b").alias("cls")), ["pivot", "cls"], "left_anti").select("key", "cls", "degree")
+        linked, open_pivots = known.where("linked").select("a", "b"), known.where("close AND NOT linked").select("a").distinct()
+        near = known.where("close").join(open_pivots, "a", "left_semi").select("a", "b", "n", "edits")
+        links = linked if links is None else links.unionByName(linked)
+        around = near if around is None else around.unionByName(near)
+
+    found = components(links).select(F.col("id").alias("b"), "component")
+    in_blocks = lambda df, group, member: df.join(df.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks")), group).withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    # A block meets every other once, as (i, j) with i <= j.
+    around = around.join(found, "b", "left").withColumn("component", F.coalesce("component", "b"))
+    around = in_blocks(around, "a", "b").repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+    more = around.mapInArrow(_edits, "a long, b long")
+
+    far = rest.join(found.withColumnRenamed("b", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    mixed = far.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    far = in_blocks(written(far.join(mixed, "key", "left_semi"), "near-far"), "key", "cls")
+    far = far.join(classes.select("cls", "sig"), "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    last = compared(written(far.mapInArrow(_meet, "a long, b long").distinct(), "near-more"), texts, shingle).where("linked").select("a", "b")
+    found = components(links.unionByName(more).unionByName(last))
 
     of_class = classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").select(*code, F.coalesce("component", "cls").alias("component"))
     out = made.join(of_class, code, "left")

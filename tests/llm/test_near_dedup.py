@@ -49,9 +49,10 @@ def family(rnd, start, n, words=60, edits=3):
         yield start + j, " ".join(w)
 
 
-@pytest.mark.parametrize("block", [4, 2048])
-def test_families_chains_and_common_passages(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,pivots", [(4, 2), (2048, 2), (2048, 1)])
+def test_families_chains_and_common_passages(spark, monkeypatch, block, pivots):
     monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "PIVOTS", pivots)
     rnd = random.Random(11)
     rows = [r for f in range(12) for r in family(rnd, 1000 * f + 7, 9)]
     chain = [f"c{i}" for i in range(80)]
@@ -106,3 +107,18 @@ def test_query_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: tuple(r)[1:] for r in Q.op8_near_dedup(spark, d).collect()}
     assert got == brute(rows)
+
+
+def test_common_edits_against_all_pairs():
+    rnd = random.Random(9)
+    for _ in range(300):
+        pivot = set(range(60))
+        sets = []
+        for _ in range(14):
+            gone = {rnd.randrange(60) for _ in range(rnd.randrange(16))}
+            sets.append((pivot - gone) | {rnd.randrange(100, 130) for _ in range(rnd.randrange(8))})
+        jac = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+        component = [0 if jac(x, pivot) else i + 1 for i, x in enumerate(sets)]
+        rows = [(i, component[i], len(x), np.array(sorted(x ^ pivot), dtype=np.int64)) for i, x in enumerate(sets)]
+        want = {(i, j) for i in range(14) for j in range(i + 1, 14) if component[i] != component[j] and jac(sets[i], sets[j])}
+        assert N.common_edits(rows) == want
