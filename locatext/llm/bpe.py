@@ -14,9 +14,10 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +25,13 @@ from pyspark.sql import functions as F
 
 SHORT_WORD = 48
 #: Words kept encoded per worker; the memo is emptied when full (results never depend on it).
-MEMO_WORDS = 200_000
+MEMO_WORDS = 500_000
 #: Texts are encoded in pieces of about this many characters, cut where a word must end.
 PIECE_CHARS = 1 << 18
-_NONE = 1 << 60
+#: A rank and the id it makes are one number: rank << _SHIFT | id.
+_SHIFT = 32
+_ID = (1 << _SHIFT) - 1
+_NONE = 1 << 62
 
 
 #: The byte-level pre-tokenizer's words. White space is spelt out as the Unicode
@@ -59,35 +63,79 @@ class ByteBpe:
         for rank, merge in enumerate(data["model"]["merges"]):
             left, right = (bytes(table[c] for c in part) for part in (merge if isinstance(merge, list) else merge.split(" ")))
             self.pairs[vocab[left], vocab[right]] = (rank, vocab[left + right])
+        self.packed = {pair: rank << _SHIFT | new for pair, (rank, new) in self.pairs.items()}
         self.token_bytes: dict[int, bytes] = {i: token for token, i in vocab.items()}
         self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.token_bytes |= {i: content.encode() for content, i in self.added.items()}
         self.added_pattern = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.memo: dict[str, tuple[int, ...]] = {}
-        #: Keyed by the text between two breaks: its ids and their decimal form.
-        self.runs: dict[str, tuple[int, ...]] = {}
-        self.decimal: dict[str, str] = {}
+        #: The same pairs for whole arrays: sorted left << 32 | right, and their packed ranks.
+        keys = np.array([a << _SHIFT | b for a, b in self.packed], dtype=np.int64)
+        order = np.argsort(keys)
+        self._keys = keys[order]
+        self._packed = np.array(list(self.packed.values()), dtype=np.int64)[order]
+        #: Keyed by the text after a break: decimal ids, decoded bytes, number of ids.
+        self.runs: dict[str, tuple[str, bytes, int]] = {}
 
-    def _ranks(self, parts: list[int]) -> list[int]:
-        none = (_NONE, 0)
-        return [self.pairs.get(pair, none)[0] for pair in zip(parts, parts[1:], strict=False)]
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Packed ranks of pairs; a side of -1 has none."""
+        key = left.astype(np.int64) << _SHIFT | right
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where((left >= 0) & (right >= 0) & (self._keys[at] == key), self._packed[at], _NONE)
+
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """``encode_word`` of many words at once: the rank arrays of words of like length
+        are the rows of one table, and every pass deletes one boundary in each row."""
+        out: list[list[int]] = [[]] * len(words)
+        sizes = np.array([len(w) for w in words])
+        for low, high in ((0, 8), (8, 12), (12, 20), (20, SHORT_WORD)):
+            for pick in np.array_split(some, -(-len(some) // 4096)) if len(some := np.flatnonzero((sizes > low) & (sizes <= high))) else ():
+                width = int(sizes[pick].max()) + 1
+                raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in pick), dtype=np.uint8).reshape(-1, width)
+                parts = np.where(np.arange(width) < sizes[pick][:, None], np.array(self.byte_ids)[raw], -1)
+                ranks = self._look_up(parts[:, :-1], parts[:, 1:])
+                row = pick
+                columns = np.arange(width)
+                while len(row):
+                    i = ranks.argmin(axis=1)
+                    lows = ranks[np.arange(len(row)), i]
+                    going = lows < _NONE
+                    if not going.all():
+                        for k in np.flatnonzero(~going).tolist():
+                            out[row[k]] = [x for x in parts[k].tolist() if x >= 0]
+                        parts, ranks, row, i, lows = parts[going], ranks[going], row[going], i[going], lows[going]
+                        if not len(row):
+                            break
+                    r, new = np.arange(len(row)), lows & _ID
+                    late = columns > i[:, None]
+                    parts[:, :-1] = np.where(late[:, :-1], parts[:, 1:], parts[:, :-1])
+                    parts[:, -1] = -1
+                    parts[r, i] = new
+                    ranks[:, :-1] = np.where(late[:, 1:-1], ranks[:, 1:], ranks[:, :-1])
+                    ranks[:, -1] = _NONE
+                    before = np.maximum(i - 1, 0)
+                    ranks[r, before] = np.where(i > 0, self._look_up(parts[r, before], new), ranks[r, before])
+                    ranks[r, i] = self._look_up(new, parts[r, i + 1])
+        for k in np.flatnonzero(sizes > SHORT_WORD).tolist():
+            out[k] = self._encode_long([self.byte_ids[b] for b in words[k]])
+        return out
 
     def encode_word(self, word: bytes) -> list[int]:
-        parts = [self.byte_ids[b] for b in word]
-        if len(parts) > SHORT_WORD:
-            return self._encode_long(parts)
-        ranks, pairs, none = self._ranks(parts), self.pairs, (_NONE, 0)
+        if len(word) > SHORT_WORD:
+            return self._encode_long([self.byte_ids[b] for b in word])
+        packed = self.packed.get
+        parts = list(map(self.byte_ids.__getitem__, word))
+        ranks = list(map(packed, zip(parts, parts[1:], strict=False), repeat(_NONE)))
         while ranks:
             low = min(ranks)
             if low == _NONE:
                 break
             i = ranks.index(low)
-            parts[i] = pairs[parts[i], parts[i + 1]][1]
+            parts[i] = new = low & _ID
             del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = pairs.get((parts[i - 1], parts[i]), none)[0]
+                ranks[i - 1] = packed((parts[i - 1], new), _NONE)
             if i < len(ranks):
-                ranks[i] = pairs.get((parts[i], parts[i + 1]), none)[0]
+                ranks[i] = packed((new, parts[i + 1]), _NONE)
         return parts
 
     def _encode_long(self, parts: list[int]) -> list[int]:
@@ -120,40 +168,51 @@ class ByteBpe:
             at = cut
         yield text[at:] if at else text
 
-    def _run(self, run: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for w in WORDS.findall(run):
-            got = self.memo.get(w)
-            if got is None:
-                if len(self.memo) >= MEMO_WORDS:
-                    self.memo.clear()
-                got = self.memo[w] = tuple(self.encode_word(w.encode()))
-            ids += got
-        return tuple(ids)
-
-    def encode_iter(self, text: str) -> Iterator[tuple[list[int], str]]:
-        """Ids of the whole text, piece by piece, and their decimal form; added tokens
-        stand for themselves."""
-        runs, decimal = self.runs, self.decimal
-        for part in self.added_pattern.split(text) if self.added_pattern and any(t in text for t in self.added) else (text,):
+    def _parts(self, text: str) -> Iterator[str]:
+        return self.added_pattern.split(text) if self.added_pattern and any(t in text for t in self.added) else (text,)
+
+    def _entry(self, ids: list[int]) -> tuple[str, bytes, int]:
+        return ",".join(map(str, ids)), self.decode_bytes(ids), len(ids)
+
+    def learn(self, runs: list[str]) -> None:
+        """Encode the runs not known yet, all their words together."""
+        if len(self.runs) + len(runs) > MEMO_WORDS:
+            self.runs.clear()
+        split = [WORDS.findall(" " + r) for r in runs]
+        of_word = {w: k for k, w in enumerate({w for ws in split for w in ws})}
+        ids = self.encode_words([w.encode() for w in of_word])
+        for r, ws in zip(runs, split, strict=True):
+            self.runs[r] = self._entry(list(chain.from_iterable(ids[of_word[w]] for w in ws)))
+
+    def encode_iter(self, text: str) -> Iterator[tuple[str, bytes, int]]:
+        """Piece by piece, for the whole text: decimal ids, the bytes decoded from them and
+        their number. Added tokens stand for themselves."""
+        for part in self._parts(text):
             if part in self.added:
-                yield [self.added[part]], str(self.added[part])
+                yield self._entry([self.added[part]])
                 continue
             for piece in self._pieces(part):
                 first, *rest = _BREAK.split(piece)
-                head = self._run(first)
-                if len(runs) > MEMO_WORDS:
-                    runs.clear()
-                    decimal.clear()
-                for r in set(rest).difference(runs):
-                    runs[r] = ids = self._run(" " + r)
-                    decimal[r] = ",".join(map(str, ids))
-                said = [",".join(map(str, head))] if head else []
-                said += map(decimal.__getitem__, rest)
-                yield [*head, *chain.from_iterable(map(runs.__getitem__, rest))], ",".join(said)
+                head = self._entry(list(chain.from_iterable(map(self.encode_word, map(str.encode, WORDS.findall(first))))))
+                if new := [r for r in set(rest) if r not in self.runs]:
+                    self.learn(new)
+                    new = [r for r in set(rest) if r not in self.runs]  # of a memo just emptied
+                    if new:
+                        self.learn(new)
+                got = [head, *map(self.runs.__getitem__, rest)] if head[2] else list(map(self.runs.__getitem__, rest))
+                yield ",".join([x[0] for x in got]), b"".join([x[1] for x in got]), sum([x[2] for x in got])
+
+    def prepare(self, texts: list[str]) -> None:
+        """Learn the runs of many texts in one go (small texts share their passes)."""
+        new: set[str] = set()
+        for text in texts:
+            if len(text) <= PIECE_CHARS:
+                new.update(r for part in self._parts(text) if part not in self.added for r in _BREAK.split(part)[1:])
+        if missing := [r for r in new if r not in self.runs]:
+            self.learn(missing)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.encode_iter(text)))
+        return [int(i) for said, _, n in self.encode_iter(text) if n for i in said.split(",")]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
@@ -164,13 +223,13 @@ class ByteBpe:
 
 def digests(codec: ByteBpe, text: str) -> tuple[int, str, str]:
     """Number of ids, digest of the ids, digest of the text decoded from them."""
-    n, of_ids, of_text, tail = 0, hashlib.sha256(), hashlib.sha256(), b""
-    for ids, said in codec.encode_iter(text):
-        if not ids:
+    n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+    for said, data, count in codec.encode_iter(text):
+        if not count:
             continue
         of_ids.update((("," if n else "") + said).encode())
-        n += len(ids)
-        of_text.update(codec.decode_bytes(ids).decode("utf-8", "replace").encode())
+        n += count
+        of_text.update(data.decode("utf-8", "replace").encode())
     return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
@@ -201,6 +260,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", keep
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column("text").to_pylist()
+                codec.prepare(texts)
                 rows = [digests(codec, t) for t in texts]
                 cols = [part.column("k"), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string())))]
                 names = ["k", "n_tokens", "ids_sha256", "decoded_sha256"]
