@@ -129,18 +129,26 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["key", "cls"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    def sets(ids: pa.Array, texts: pa.Array) -> list[np.ndarray]:
+        """The rows' sets; a pivot that comes again is read once."""
+        _, first, back = np.unique(ids.to_numpy(), return_index=True, return_inverse=True)
+        own = [h[at[i] : at[i + 1]] for _, _, h, at in sets_of(texts.take(pa.array(first)), k) for i in range(len(at) - 1)]
+        return [own[i] for i in back]
+
     for batch in batches:
-        rows: list[list] = [[], [], [], [], []]
-        for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
-            x, y = x.values.to_numpy(), y.values.to_numpy()
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            union = len(x) + len(y) - both
-            linked, near, close = (100 * both >= s * union for s in (SIMILARITY, NEAR, CLOSE))
-            for c, v in zip(rows, (len(y), linked, near, close, np.setxor1d(x, y, assume_unique=True) if close else None), strict=True):
-                c.append(v)
-        kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))], names=_COMPARED.replace(" long", "").replace(" boolean", "").replace(" array<long>", "").split(", "))
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            rows: list[list] = [[], [], [], [], []]
+            for x, y in zip(sets(part.column("a"), part.column("ta")), sets(part.column("b"), part.column("tb")), strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                union = len(x) + len(y) - both
+                linked, near, close = (100 * both >= s * union for s in (SIMILARITY, NEAR, CLOSE))
+                edits = np.setxor1d(x, y, assume_unique=True).view(np.int64) if close else None
+                for c, v in zip(rows, (len(y), linked, near, close, edits), strict=True):
+                    c.append(v)
+            kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))], names=["a", "b", "n", "linked", "near", "close", "edits"])
 
 
 _COMPARED = "a long, b long, n long, linked boolean, near boolean, close boolean, edits array<long>"
@@ -202,24 +210,13 @@ def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(rows)
 
 
-def _hashes(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id")
-            for lo, hi, h, at in sets_of(batch.column("text"), k):
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))], names=["id", "h"])
-
-    return run
-
-
-def compared(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """``pairs`` (a, b: ids) compared on full shingle sets. Only texts that are in some
-    pair are read into sets."""
-    members = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = docs.join(members, "id", "left_semi").mapInArrow(_hashes(k), "id long, h array<long>")
-    sets = written(sets, "near-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
-    return written(both.mapInArrow(_compare, _COMPARED), "near-compared")
+def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """``pairs`` (a, b: ids) compared on full shingle sets, made from the texts: these
+    take half the room of their sets in a shuffle. Both sides grow with the corpus, so
+    they are merged at every size and never broadcast."""
+    both = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    both = both.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    return written(both.mapInArrow(lambda batches: _compare(batches, k), _COMPARED), "near-compared")
 
 
 def components(links: DataFrame, label: str = "near-components", rounds: int = 60) -> DataFrame:
@@ -289,7 +286,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", shingle: int = 4) -
     shared = written(index.join(buckets, "key"), "near-buckets")
     degree = shared.groupBy("cls").agg(F.sum("size").alias("degree"))
     rest = shared.join(degree, "cls").select("key", "cls", "degree")
-    texts = src.where("id IS NOT NULL")
+    candidates = shared.select(F.col("cls").alias("id")).distinct()
+    texts = written(src.where("id IS NOT NULL").join(candidates.hint("merge"), "id", "left_semi"), "near-texts")
 
     links = around = None
     for _ in range(PIVOTS):
