@@ -23,8 +23,21 @@ def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH RECURSIVE t AS (SELECT 'u' || user_id AS u, 'k' || json_extract_string(props, '$.k') || event_type AS k FROM events WHERE event_id % 23 = 0), ed AS (SELECT DISTINCT a.u AS a, b.u AS b FROM t a JOIN t b ON a.k = b.k),
 reach AS (SELECT a, b FROM ed UNION SELECT r.a, ed.b FROM reach r JOIN ed ON r.b = ed.a) SELECT a AS node, min(b) AS component FROM reach GROUP BY a""")
 def thread_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users that share a message key (one event in 23 is a message here) are one thread."""
-    keys = table(spark, sf_dir, "events").where("event_id % 23 = 0").select(F.concat(F.lit("u"), "user_id").alias("u"), F.concat(F.lit("~k"), F.get_json_object("props", "$.k"), "event_type").alias("k"))
+    """Threads of the events that the SQL names (one in 23); ``thread_components_all`` reads every event."""
+    return _threads(table(spark, sf_dir, "events").where("event_id % 23 = 0 AND get_json_object(props, '$.k') || event_type IS NOT NULL"))
+
+
+@query()
+def thread_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads over all events. It has no SQL: the recursion pairs every two users of a key."""
+    return _threads(table(spark, sf_dir, "events"))
+
+
+def _threads(events: DataFrame) -> DataFrame:
+    """Users that share a message key are one thread; a user without any key is one alone."""
+    user = F.concat(F.lit("u"), "user_id")
+    key = F.concat(F.lit("~k"), F.get_json_object("props", "$.k"), "event_type")
+    keys = events.where("user_id IS NOT NULL").select(user.alias("u"), F.coalesce(key, F.concat(F.lit("~"), user)).alias("k"))
     return G.components(keys.distinct(), "u", "k").where("NOT startswith(node, '~')")
 
 
