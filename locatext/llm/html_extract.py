@@ -7,8 +7,9 @@ importance of a node joins two entropies over the host's pages, of presentation
 content: navigation, footers and notices repeat, articles differ. Branches of low
 importance go. Entropy alone cannot tell an advert (different on every page) from an
 article, nor say anything on a host of a few pages; so a node's meaning, where its
-element or class names one, stands first, and within a marked article only named
-boilerplate is removed.
+element or class names one, stands first. Within a marked article the tree judges the
+branches over the host's distinct articles, so copies of one article are no template;
+and where unmarked branches of a page outweigh its marked ones, both are its text.
 
 The statistics are gathered per host with map-side partial counts; a hot host is one
 key of a combined aggregate, and its pages are never brought together."""
@@ -18,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from functools import lru_cache
+from types import MappingProxyType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,7 +54,8 @@ class Block:
 
     __slots__ = ("path", "named", "main", "raw")
 
-    def __init__(self, path: tuple[str, ...], named: bool, main: bool, raw: list[str]):
+    def __init__(self, path: tuple[str, ...], named: bool, main: int, raw: list[str]):
+        #: ``main`` is the length of the path to the outermost marked element, 0 without one.
         self.path, self.named, self.main, self.raw = path, named, main, raw
 
     def text(self) -> str:
@@ -80,13 +84,13 @@ def blocks(page: str) -> list[Block]:
     """Blocks of a page in order, by a forgiving one-pass reading: unclosed and
     misplaced elements are closed where a browser would close them."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, named here or above, main here or above
+    stack: list[tuple[str, str, bool, int]] = []  # tag, label, named here or above, main here or above
     raw: list[str] = []
 
     def cut() -> None:
         if raw:
             if any(not x.isspace() for x in raw):
-                out.append(Block(tuple(s[1] for s in stack), bool(stack and stack[-1][2]), bool(stack and stack[-1][3]), list(raw)))
+                out.append(Block(tuple(s[1] for s in stack), bool(stack and stack[-1][2]), stack[-1][3] if stack else 0, list(raw)))
             raw.clear()
 
     at, n = 0, len(page)
@@ -141,8 +145,8 @@ def blocks(page: str) -> list[Block]:
                 at = end.end() if end else n
                 continue
             label, named, main = _role(tag, attributes)
-            up = stack[-1] if stack else ("", "", False, False)
-            stack.append((tag, label, named or up[2], main or up[3]))
+            up = stack[-1] if stack else ("", "", False, 0)
+            stack.append((tag, label, named or up[2], up[3] or (len(stack) + 1 if main else 0)))
         elif page.startswith("<![CDATA[", lt):
             raw.append(html.escape(page[lt + 9 : m.end() - (3 if page.endswith("]]>", lt, m.end()) else 0)]))
     cut()
@@ -171,6 +175,32 @@ def _branches(page_blocks: list[Block]) -> dict[int, tuple[int, int]]:
     return {_digest(*p): (_digest(*shape), _digest(*content)) for p, (shape, content) in seen.items()}
 
 
+@lru_cache(maxsize=1 << 16)
+def _branch(path: tuple[str, ...]) -> int:
+    return _digest(*path)
+
+
+@lru_cache(maxsize=1 << 12)
+def _teaser(path: tuple[str, ...]) -> int:
+    """A marked element as a branch among its host's pages, not among its articles."""
+    return _digest("page", *path)
+
+
+def _sightings(page: str) -> Iterator[tuple[int, int, int, int]]:
+    """(branch, presentation, content, what it is counted in) of the branches with a
+    block that no name removes: the page, or within a marked element the article."""
+    found = blocks(page)
+    left = [b for b in found if not b.named]
+    seen, own = _branches(found), _digest(page)
+    article = _digest(*("".join(b.raw) for b in left if b.main))
+    inside = {_branch(p): b.main and len(p) >= b.main for b in left for p in _prefixes(b.path)}
+    for branch, marked in inside.items():
+        yield branch, *seen[branch], article if marked else own
+    for path in {b.path[: b.main] for b in left if b.main}:
+        if (branch := _branch(path)) in seen:
+            yield _teaser(path), *seen[branch], own
+
+
 def host_of(url: str | None) -> str:
     """Lower-cased host of a URL without user and port; empty if there is none."""
     m = re.match(r"\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", url or "")
@@ -182,15 +212,16 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: set[tuple[str, int, int, int, int]] = set()
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            host, own = host_of(url), _digest(page)
-            rows.update((host, branch, shape, content, own) for branch, (shape, content) in _branches(blocks(page)).items())
+            host = host_of(url)
+            rows.update((host, *x) for x in _sightings(page))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "branch", "shape", "content", "page"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """The merged trees of all hosts: host, branch, pages, contents, importance. Only
-    distinct pages of a host count, so copies of one article are no template.
+    distinct pages of a host count (within a marked element, distinct articles), so
+    copies of one article are no template. Branches that names alone remove are left out.
     Importance is a weighted mean of the content's and the presentation's entropy,
     each over the log of the number of pages."""
     seen = pages.mapInArrow(_observe, "host string, branch long, shape long, content long, page long").distinct()
@@ -201,25 +232,24 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return nodes.select("host", "branch", F.col("n").alias("pages"), "contents", ((entropy("clogc") * 3 + entropy("slogs")) / 4).alias("importance"))
 
 
-def low_branches(tree: DataFrame) -> DataFrame:
-    """Per host the branches to remove, as one array (as long as the host's style tree at most)."""
-    return tree.where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW_IMPORTANCE)).groupBy("host").agg(F.collect_list("branch").alias("low"))
+def judged_branches(tree: DataFrame) -> DataFrame:
+    """Per host the branches that can be judged with their importance, as one array (as
+    long as the host's style tree at most)."""
+    return tree.where(F.col("pages") >= MIN_PAGES).groupBy("host").agg(F.collect_list(F.struct("branch", "importance")).alias("judged"))
 
 
-def main_text(page: str, low: frozenset[int]) -> str:
-    """The article of one page."""
+def main_text(page: str, low: frozenset[int], importance: Mapping[int, float] = MappingProxyType({})) -> str:
+    """The article of one page, without the branches in ``low``."""
     found = [b for b in blocks(page) if not b.named]
+    if low:
+        found = [b for b in found if not any(_branch(p) in low for p in _prefixes(b.path) if len(p) >= b.main)]
     marked = [b for b in found if b.main]
-    if marked:
-        found = marked
-    elif low:
-        digests: dict[tuple[str, ...], int] = {}
-        for b in found:
-            for p in _prefixes(b.path):
-                if p not in digests:
-                    digests[p] = _digest(*p)
-        found = [b for b in found if not any(digests[p] in low for p in _prefixes(b.path))]
-    return "\n".join(t for b in found if (t := b.text()))
+    if marked and len(marked) < len(found):
+        # Unmarked text counts as far as the tree has seen its branch differ.
+        weight = sum(importance.get(_branch(b.path), 0.0) * len(b.text()) for b in found if not b.main)
+        if weight > sum(len(b.text()) for b in marked):
+            marked = [b for b in found if not b.main or _teaser(b.path[: b.main]) not in low]
+    return "\n".join(t for b in marked or found if (t := b.text()))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -228,20 +258,21 @@ def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     each answered; other columns are not read."""
     src = pages.select(F.col(id_col).alias("k"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), r"^.*@", ""), r":[0-9]*$", ""))
-    low = low_branches(style_tree(src.select("url", "html")))
-    # Hosts with something to remove are few rows; Spark broadcasts them below its own
+    judged = judged_branches(style_tree(src.select("url", "html")))
+    # Hosts with branches to judge are few rows; Spark broadcasts them below its own
     # size threshold and otherwise shuffles, where adaptive execution splits a hot host.
-    joined = src.withColumn("host", host).join(low, "host", "left").select("k", "url", "html", "low")
+    joined = src.withColumn("host", host).join(judged, "host", "left").select("k", "url", "html", "judged")
     kind = src.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: tuple[list | None, frozenset[int]] = (None, frozenset())
+        memo: tuple[list | None, frozenset[int], dict[int, float]] = (None, frozenset(), {})
         for batch in batches:
             texts = []
-            for page, branches in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
+            for page, branches in zip(batch.column("html").to_pylist(), batch.column("judged").to_pylist(), strict=True):
                 if branches != memo[0]:
-                    memo = (branches, frozenset(branches or ()))
-                texts.append(main_text(page, memo[1]))
+                    importance = {x["branch"]: x["importance"] for x in branches or ()}
+                    memo = (branches, frozenset(b for b, x in importance.items() if x < LOW_IMPORTANCE), importance)
+                texts.append(main_text(page, memo[1], memo[2]))
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["k", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"k {kind}, url string, text string, n_chars long").withColumnRenamed("k", id_col)

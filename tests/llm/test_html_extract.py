@@ -78,3 +78,25 @@ def test_importance_against_entropy_by_hand(spark):
 def test_hosts(spark):
     urls = ["http://User@A.com:80/x", "//b.c", "nothing", None, "https://m.x/?a//b", " HTTP://Q.r#t"]
     assert [H.host_of(u) for u in urls] == ["a.com", "b.c", "", "", "m.x", "q.r"]
+
+
+def _extract(spark, bodies):
+    pages = spark.createDataFrame([(i, "http://h.example/x", f"<body>{b}</body>") for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+
+
+def test_repeated_branches_go_inside_marked_articles_too(spark):
+    got = _extract(spark, [f"<article><p>story {i} {'w' * i}</p><div class=q>read our terms</div></article>" for i in range(20)])
+    assert all(got[i] == f"story {i} {'w' * i}".strip() for i in got)
+
+
+def test_copies_of_one_article_among_others_are_no_template(spark):
+    bodies = [f"<div class=ad>buy {i}</div><article><h1>T</h1><p>one <b>article</b></p></article>" for i in range(40)]
+    got = _extract(spark, bodies + [f"<article><h1>{i}</h1><p>other {i}</p></article>" for i in range(9)])
+    assert got[3] == "T\none article" and got[44] == "4\nother 4"
+
+
+@pytest.mark.parametrize("teaser", ["see our offer", "see our offer {}"])
+def test_a_teaser_does_not_hide_the_main_text(spark, teaser):
+    got = _extract(spark, [f"<article>{teaser.format(i)}</article><div class=r><p>a long text of page {i} {'w' * i}</p></div>" for i in range(20)])
+    assert all(f"a long text of page {i}" in got[i] and ("offer" in got[i]) == ("{" in teaser) for i in got)
