@@ -1,9 +1,10 @@
 """Personal data: fixed base patterns plus a semi-Markov conditional random field.
 
 The base kinds (email, ip, card, phone) are what the patterns say. The CRF adds
-spans the patterns miss: around every trigger (a digit or "@") the tokens of a small
-neighbourhood form a lattice whose edges are single outside tokens and candidate
-segments of at most ``MAX_TOKENS`` tokens. Each segment of a kind is scored by
+spans the patterns miss: candidate segments are the matches of a few forms over the
+whole text, and what stands after a word that announces a secret. Each run of touching
+candidates is a lattice whose edges are single outside tokens and the candidates (of at
+most ``MAX_TOKENS`` tokens where they hold spaces and are no IBAN). Each segment of a kind is scored by
 features of the *whole* span (shape, checksum, separators, entropy, context words)
 plus a transition from the kind before it; dynamic programming chooses boundaries and
 kinds together, with base spans clamped to their kind. The weights are trained here
@@ -16,6 +17,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +38,6 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LONG_DIGITS = re.compile(r"[0-9](?:[ -]?[0-9]){15}")
-_TRIGGER = re.compile(r"[0-9@]")
 
 
 def luhn(digits: str) -> bool:
@@ -81,7 +82,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-# The lattice of one neighbourhood.
+# Candidates, and the lattice of one neighbourhood.
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 #: Forms of candidate segments; each gives whole spans, the CRF judges them.
@@ -106,6 +107,10 @@ _CUES = {
     "ip": "ip host server address",
 }
 _CUE_OF = {w: k for k, ws in _CUES.items() for w in ws.split()}
+_IBAN = _FORMS[-1]
+_SECRET = _CUES["secret"].split()
+#: The word after one that announces a secret, whatever it is made of.
+_TOLD = re.compile(rf"(?<![^\W_])(?:{'|'.join(_SECRET)})(?![^\W_])(?=[\"']?\s{{0,3}}(?:[:=]|is\b|was\b)?\s{{0,3}}[\"']?([^\s\"',;:=]{{6,512}}))", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 
@@ -131,14 +136,35 @@ def _features(text: str, start: int, end: int, left: str) -> list[str]:
             out.append(f"cue={_CUE_OF[w]}")
     if left.rstrip(" \"'")[-1:] in ("=", ":"):
         out.append("assigned")
+    out.append(f"iban={bool(_IBAN.fullmatch(s))}")
+    if not digits:
+        out.append(f"bare={any(c.isupper() for c in s[1:]) and any(c.islower() for c in s)}/{bool(seps)}/{min(len(s) // 3, 8)}/{any(x == 'cue=secret' for x in out)}")
     return out
 
 
+def _candidates(text: str) -> list[tuple[int, int]]:
+    """Spans that any form gives over the whole text, without and with what ends them."""
+    at, digit, low = "@" in text, re.search("[0-9]", text), text.lower()
+    found = {m.span() for i, form in enumerate(_FORMS) if (at if i < 2 else digit) for m in form.finditer(text)}
+    if any(w in low for w in _SECRET):
+        found.update(m.span(1) for m in _TOLD.finditer(text))
+    for s, e in list(found):
+        if not text[e - 1].isalnum():
+            found.add((s, e - 1))
+            while e > s and not text[e - 1].isalnum():
+                e -= 1
+            found.add((s, e))
+    return sorted(x for x in found if x[0] < x[1])
+
+
 class Lattice:
-    """Tokens of text[lo:hi] and candidate segments between token boundaries."""
+    """Tokens of text[lo:hi] and candidate segments between token boundaries (those of
+    the whole text, where they are not given)."""
 
-    def __init__(self, text: str, lo: int, hi: int, clamped: list[tuple[str, int, int]]):
+    def __init__(self, text: str, lo: int, hi: int, clamped: list[tuple[str, int, int]], candidates: list[tuple[int, int]] | None = None):
         piece = text[lo:hi]
+        if candidates is None:
+            candidates = _candidates(text)
         bounds = {0, len(piece)}
         for m in _TOKEN.finditer(piece):
             bounds.update(m.span())
@@ -152,16 +178,13 @@ class Lattice:
         self.ends: list[list[tuple[int, list[str], tuple[str, ...] | None]]] = [[] for _ in cuts]
         spans = {(s, e): k for k, s, e in clamped if lo <= s and e <= hi}
         seen = set(spans)
-        for form in _FORMS:
-            for m in form.finditer(piece):
-                s, e = m.start() + lo, m.end() + lo
-                for t in ((s, e), (s, e - 1)) if not text[e - 1].isalnum() else ((s, e),):
-                    if t not in seen and not any(a < t[1] and t[0] < b for a, b in spans):
-                        seen.add(t)
+        for s, e in candidates:
+            if lo <= s and e <= hi and not any(a < e and s < b for a, b in spans):
+                seen.add((s, e))
         for s, e in sorted(seen):
             i, j = place.get(s - lo), place.get(e - lo)
             if i is None or j is None or i >= j or (j - i > MAX_TOKENS and (s, e) not in spans):
-                opaque = i is not None and j is not None and " " not in text[s:e]
+                opaque = i is not None and j is not None and (" " not in text[s:e] or _IBAN.fullmatch(text[s:e]))
                 if not opaque:
                     continue
             self.ends[j].append((i, _features(text, s, e, text[max(0, s - CONTEXT_CHARS) : s]), (spans[s, e],) if (s, e) in spans else None))
@@ -281,18 +304,30 @@ def _sentences(seed: int, n: int) -> Iterator[tuple[str, list[tuple[str, int, in
     digits = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
     hexes = lambda k: "".join(rnd.choice("0123456789abcdef") for _ in range(k))
     word = lambda: "".join(rnd.choice("abcdefghiklmnoprstuvw") for _ in range(rnd.randint(2, 9)))
+    letters = lambda k: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    mixed = lambda k: "".join(rnd.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(k))
+
+    def bank() -> str:
+        """An IBAN with a bank code, in groups of four."""
+        land, rest = rnd.choice([("GB", 14), ("IE", 14), ("NL", 10)])
+        whole = land + digits(2) + letters(4).upper() + digits(rest)
+        return " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))
+
     for _ in range(n):
         kind = rnd.choice(["secret", "secret", "account", "handle", "national", "phone", "card", "email", None, None, None])
-        cue = rnd.choice([*(_CUES.get(kind or "", "").split() or [word()]), word(), word()])
+        cue = rnd.choice([*(_CUES.get(kind or "", "").split() or [word(), rnd.choice(_SECRET)]), word(), word()])
+        told = rnd.random() < 0.3 and kind == "secret"
+        if told:
+            cue = rnd.choice(_SECRET)
         value = {
-            "secret": lambda: rnd.choice([hexes(rnd.choice([32, 40, 64])), "sk_" + hexes(24), hexes(40).upper(), "".join(rnd.choice("ABCDEFGHIJKLMNOPabcdefghijk0123456789") for _ in range(rnd.randint(20, 44)))]),
-            "account": lambda: rnd.choice([f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}", f"GB{digits(2)}ABCD{digits(8)}{digits(4)}", digits(16), digits(rnd.randint(10, 15))]),
+            "secret": lambda: rnd.choice([hexes(rnd.choice([32, 40, 64])), "sk_" + hexes(24), hexes(40).upper(), "".join(rnd.choice("ABCDEFGHIJKLMNOPabcdefghijk0123456789") for _ in range(rnd.randint(20, 44)))]) if not told else rnd.choice([mixed(rnd.randint(10, 40)), letters(rnd.randint(14, 32)), letters(rnd.randint(4, 7)) + rnd.choice("-_!.") + mixed(rnd.randint(4, 9))]),
+            "account": lambda: rnd.choice([f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}", f"GB{digits(2)}ABCD{digits(8)}{digits(4)}", bank(), digits(16), digits(rnd.randint(10, 15))]),
             "handle": lambda: "@" + word() + rnd.choice(["", "_", digits(2)]) + word(),
             "national": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
             "phone": lambda: rnd.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}"]),
             "card": lambda: " ".join(digits(4) for _ in range(4)),
             "email": lambda: word() + "ü." + word() + "@" + word() + "." + rnd.choice(["com", "org", "de"]),
-            None: lambda: rnd.choice([digits(rnd.randint(1, 6)), f"{digits(1)}.{digits(2)}.{digits(1)}", f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(4)}/{digits(3)}", word() + digits(2), f"{digits(2)}:{digits(2)}", word() + "-" + word() + digits(1)]),
+            None: lambda: rnd.choice([digits(rnd.randint(1, 6)), f"{digits(1)}.{digits(2)}.{digits(1)}", f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(4)}/{digits(3)}", word() + digits(2), f"{digits(2)}:{digits(2)}", word() + "-" + word() + digits(1), word(), word()]),
         }[kind]()
         before = " ".join(word() for _ in range(rnd.randint(1, 4))) + " " + cue + rnd.choice([" ", " ", ": ", ' = "'])
         after = ('"' if before.endswith('"') else "") + rnd.choice([" ", ". ", ", ", "$$$ "]) + " ".join(word() for _ in range(rnd.randint(1, 3)))
@@ -330,26 +365,17 @@ def _disjoint(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return out
 
 
-def _regions(text: str) -> Iterator[tuple[int, int]]:
-    """Neighbourhoods: each run of triggers with its tokens and some context."""
+def _regions(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Neighbourhoods: runs of spans (sorted) that overlap or nearly touch."""
     lo = hi = -1
-    at = 0
-    while m := _TRIGGER.search(text, at):
-        start, end = m.start(), m.end()
-        stop = max(0, start - 520)
-        while start > stop and not text[start - 1].isspace():
-            start -= 1
-        stop = min(len(text), end + 520)
-        while end < stop and not text[end].isspace():
-            end += 1
+    for start, end in spans:
         if lo < 0:
             lo, hi = start, end
         elif start - hi <= 2:
-            hi = end
+            hi = max(hi, end)
         else:
             yield lo, hi
             lo, hi = start, end
-        at = max(end, m.end())
     if lo >= 0:
         yield lo, hi
 
@@ -364,7 +390,8 @@ def find_spans(text: str, w: Weights) -> tuple[list[tuple[str, int, int]], list[
     clamp = _disjoint(base)
     extra: set[tuple[str, int, int]] = set()
     at = 0
-    for lo, hi in _regions(text):
+    candidates = _candidates(text)
+    for lo, hi in _regions(sorted({*candidates, *(c[1:] for c in clamp)})):
         for a in range(lo, hi, REGION_CHARS):
             b = min(hi, a + REGION_CHARS + 560)
             while at < len(clamp) and clamp[at][2] <= a:
@@ -374,7 +401,7 @@ def find_spans(text: str, w: Weights) -> tuple[list[tuple[str, int, int]], list[
                 if c[1] >= b:
                     break
                 own.append(c)
-            lat = Lattice(text, a, b, own)
+            lat = Lattice(text, a, b, own, candidates[bisect_left(candidates, (a, 0)) : bisect_left(candidates, (b, 0))])
             if lat:
                 extra.update(x for x in decode(lat, w) if x not in own)
     added: list[tuple[str, int, int]] = []

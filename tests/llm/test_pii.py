@@ -97,3 +97,23 @@ def test_rows(spark, n):
 
 def test_long_unbroken_text_is_linear():
     pii.find_spans("a1@" * 60000, pii.train())
+
+
+@pytest.mark.parametrize(
+    "before,value,after,kind",
+    [
+        ("please pay to iban ", "GB29 NWBK 6016 1331 9268 19", " today", "account"),
+        ("konto ", "NL91 ABNA 0417 1643 00", ".", "account"),
+        ("iban: ", "IE29 AIBK 9311 5212 3456 78", "", "account"),
+        ("iban ", "MT84 MALT 0110 00A1 2B45 M1L2 AST0 01S", " ok", "account"),
+        ("my password: ", "hunterXsecretABCdefghij", " end", "secret"),
+        ('the token = "', "AbCdEfGhIjKlMnOpQrStUvWx", '" x', "secret"),
+    ],
+)
+def test_values_that_are_not_runs_of_digits(before, value, after, kind):
+    _, every = pii.find_spans(before + value + after, pii.train())
+    assert every == [(kind, len(before), len(before) + len(value))]
+
+
+def test_a_word_that_announces_nothing():
+    assert pii.find_spans("the token holder and the key person kept a secret meeting", pii.train())[1] == []
