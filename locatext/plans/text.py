@@ -76,6 +76,19 @@ def rfi_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", forms[0].alias("first"), forms[6].alias("seventh"), F.array_join(F.slice(forms, 1, 12), "|").alias("dozen"))
 
 
+@query("""
+WITH k AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS bare FROM orders),
+n AS (SELECT o_orderkey, CASE WHEN length(bare) < 6 THEN lpad(bare, 6, '0') ELSE bare END AS raw, CASE WHEN length(bare) < 6 THEN bare ELSE '0' || bare END AS other FROM k),
+f AS (SELECT o_orderkey, ['rfi ' || raw, 'rfi no ' || raw, 'rfi number ' || raw, 'request for information ' || raw, 'request for information no ' || raw, 'request for information number ' || raw,
+  'rfi ' || other, 'rfi no ' || other, 'rfi number ' || other, 'request for information ' || other, 'request for information no ' || other, 'request for information number ' || other] AS l FROM n)
+SELECT o_orderkey, l[1] AS first, l[7] AS seventh, array_to_string(l, '|') AS dozen FROM f""")
+def rfi_variants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of all orders; keys of six digits or more stand as they are, then with a leading zero."""
+    key = F.col("o_orderkey").cast("string")
+    forms = L.rfi_variants(F.when(F.length(key) < 6, F.lpad(key, 6, "0")).otherwise(key))
+    return table(spark, sf_dir, "orders").select("o_orderkey", forms[0].alias("first"), forms[6].alias("seventh"), F.array_join(F.slice(forms, 1, 12), "|").alias("dozen"))
+
+
 @query(f"""
 WITH {EV}, w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(raw_text), '[a-z0-9]+(?:-[a-z0-9]+)*')) AS term FROM ev)
 SELECT term, CASE WHEN term LIKE '%ness' AND length(term) > 6 THEN left(term, length(term) - 4) END AS bare,
