@@ -2,7 +2,9 @@
 
 ``recognise`` maps a question to (intent, workflow, identifier, argument) by full-match
 patterns in a fixed order; ``ask`` runs the plan of the request on an evidence table
-and a workflow index, and falls back to ranked retrieval. No model is called."""
+and a workflow index, answers ``UNSUPPORTED`` where the evidence has no columns for it
+(``UNSUPPORTED``), and falls back to ranked retrieval for a free question. No model is
+called."""
 
 from __future__ import annotations
 
@@ -12,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locatext.functions import lexing as L
 from locatext.functions.vocab import STOP_WORDS
 from locatext.operators import resolution as X
 from locatext.operators import search as S
@@ -46,6 +49,9 @@ INTENTS: list[tuple[str, str, str | None]] = [
     ("status", rf"(?:what is the status of|is) {_ITEM}(?: open| closed| approved| rejected)?", "status"),
     ("field", rf"what is the ([a-z][a-z ]{{1,40}}) (?:of|for) {_ITEM}", None),
 ]
+#: Recognised, but without a plan: reply chains, attachments, relations and references
+#: are not in the evidence that ``ask`` reads.
+UNSUPPORTED = frozenset(("email_thread", "attachments", "cross_relations", "drawing_references", "clause_references"))
 _COMPILED = [(name, re.compile(rf"\s*{pattern}\s*[?.]?\s*", re.I), label) for name, pattern, label in INTENTS]
 
 
@@ -55,6 +61,7 @@ class Request:
     workflow: str | None = None
     identifier: str | None = None
     argument: str | None = None
+    target: str | None = None
 
 
 def normalise_identifier(workflow: str, raw: str) -> str | None:
@@ -75,15 +82,20 @@ def recognise(question: str) -> Request:
         rest = [g for g in groups if g not in ("rfi", "submittal")]
         identifier = next((n for g in reversed(rest) if workflow and (n := normalise_identifier(workflow, g))), None)
         argument = label or next((g for g in rest if not identifier or normalise_identifier(workflow or "", g) != identifier), None)
-        return Request(name, workflow, identifier, argument)
+        return Request(name, workflow, identifier, argument, rest[-1].rstrip("?.") if rest else None)
     return Request("retrieve")
 
 
 def read_field(rows: DataFrame, request: Request, cap: int = 32) -> DataFrame:
     """Values of ``Label: value`` lines of one item: ANSWERED, CONFLICT, NONE, or REFUSED
     beyond ``cap`` candidate rows (a request that broad has no one answer)."""
+    mine = rows.where((F.col("workflow") == request.workflow) & (F.col("identifier") == request.identifier))
+    return _read_label(mine, request, cap)
+
+
+def _read_label(rows: DataFrame, request: Request, cap: int) -> DataFrame:
     label = request.argument or "status"
-    mine = rows.where((F.col("workflow") == request.workflow) & (F.col("identifier") == request.identifier) & F.lower("raw_text").contains(label))
+    mine = rows.where(F.lower("raw_text").contains(label))
     value = F.regexp_extract("raw_text", f"(?im)^[ \\t]*{re.escape(label)}[ \\t]*:[ \\t]*(.+?)[ \\t]*$", 1)
     found = mine.select("evidence_id", value.alias("value")).agg(F.count("*").alias("rows"), F.array_sort(F.collect_set(F.when(F.col("value") != "", F.col("value")))).alias("values"), F.array_sort(F.collect_set(F.when(F.col("value") != "", F.col("evidence_id")))).alias("cited"))
     return found.select(F.lit(request.intent).alias("intent"), F.when(F.col("rows") > cap, "REFUSED").otherwise(X.agree(F.col("values"))).alias("outcome"), "values", "cited")
@@ -98,13 +110,60 @@ def retrieve(rows: DataFrame, question: str, results: int = 8) -> DataFrame:
     return S.rank_rows(scored.withColumn("score", F.col("points") + S.coverage_bonus(F.col("hits"), len(terms)))).limit(results).select("evidence_id", "hits", "score")
 
 
+def _emails(rows: DataFrame) -> DataFrame:
+    """Rows of the documents that are emails by their name or first header line."""
+    family = L.source_family(F.col("document_id"), F.col("raw_text"))
+    mails = rows.where((F.col("workflow") == "EMAIL") | (family == "EMAIL")).select("document_id").distinct()
+    return rows.join(mails, "document_id", "left_semi")
+
+
+def _listed(rows: DataFrame, intent: str, value: str, cited: str) -> DataFrame:
+    """All distinct values in order, with what they are cited from."""
+    found = rows.agg(F.array_sort(F.collect_set(value)).alias("v"), F.array_sort(F.collect_set(cited)).alias("c"))
+    return found.select(F.lit(intent).alias("intent"), F.when(F.size("v") > 0, "ANSWERED").otherwise("NONE").alias("outcome"), F.col("v").alias("values"), F.col("c").alias("cited"))
+
+
+def _inventory(rows: DataFrame, kind: str) -> tuple[DataFrame, str]:
+    """Rows of a kind of item, and the column that names an item."""
+    if kind == "DOCUMENT":
+        return rows, "document_id"
+    if kind == "EMAIL":
+        return _emails(rows), "document_id"
+    return rows.where(F.col("workflow") == kind), "identifier"
+
+
+def _statuses(rows: DataFrame, request: Request) -> DataFrame:
+    """Items of a status, or all with theirs; an item with several is a ``CONFLICT`` and
+    one without any ``NONE``, and both are listed only by status."""
+    value = F.regexp_extract("raw_text", r"(?im)^[ \t]*status[ \t]*:[ \t]*(.+?)[ \t]*$", 1)
+    mine = rows.where((F.col("workflow") == request.workflow) & F.col("identifier").isNotNull()).select("identifier", "evidence_id", F.when(value != "", value).alias("said"))
+    items = mine.groupBy("identifier").agg(F.collect_set(F.lower("said")).alias("s"), F.min("said").alias("said"), F.min(F.when(F.col("said").isNotNull(), F.col("evidence_id"))).alias("evidence_id"))
+    if request.argument != "status":
+        return _listed(items.where((F.size("s") == 1) & (F.col("s")[0] == request.argument)), request.intent, "identifier", "evidence_id")
+    state = F.when(F.size("s") > 1, "CONFLICT").otherwise(F.coalesce("said", F.lit("NONE")))
+    return _listed(items.select(F.concat_ws(": ", "identifier", state).alias("item"), "evidence_id"), request.intent, "item", "evidence_id")
+
+
 def ask(rows: DataFrame, question: str) -> DataFrame:
     """Answer one question over ``rows`` (evidence_id, workflow, identifier, role,
     document_id, raw_text)."""
     request = recognise(question)
     if request.intent == "inventory_count":
-        kind = rows.where(F.col("workflow") == (request.workflow or (request.argument or "").upper()))
-        return kind.agg(F.countDistinct("identifier").alias("n")).select(F.lit(request.intent).alias("intent"), F.lit("ANSWERED").alias("outcome"), F.array(F.col("n").cast("string")).alias("values"), F.array().cast("array<string>").alias("cited"))
+        kind, item = _inventory(rows, request.workflow or (request.argument or "").upper())
+        return kind.agg(F.countDistinct(item).alias("n")).select(F.lit(request.intent).alias("intent"), F.lit("ANSWERED").alias("outcome"), F.array(F.col("n").cast("string")).alias("values"), F.array().cast("array<string>").alias("cited"))
+    if request.intent in UNSUPPORTED:
+        none = F.array().cast("array<string>")
+        return rows.sparkSession.range(1).select(F.lit(request.intent).alias("intent"), F.lit("UNSUPPORTED").alias("outcome"), none.alias("values"), none.alias("cited"))
+    if request.intent == "inventory_list":
+        kind, item = _inventory(rows, request.workflow or (request.argument or "").upper())
+        return _listed(kind, request.intent, item, "document_id")
+    if request.intent == "status_inventory":
+        return _statuses(rows, request)
+    if request.intent == "email_to_items":
+        mine = _emails(rows).where((F.lower("document_id") == request.target) & (F.col("workflow") == request.workflow))
+        return _listed(mine, request.intent, "identifier", "evidence_id")
+    if request.intent == "email_header":
+        return _read_label(_emails(rows).where(F.lower("document_id") == request.target), request, 32)
     if request.intent == "rfi_content":
         role = "QUESTION" if request.argument == "question" else "RESPONSE"
         mine = rows.where((F.col("workflow") == request.workflow) & (F.col("identifier") == request.identifier) & (F.col("role") == role))
@@ -112,7 +171,8 @@ def ask(rows: DataFrame, question: str) -> DataFrame:
         texts = F.transform("r", lambda x: x["raw_text"])
         return said.select(F.lit(request.intent).alias("intent"), F.when(F.size("r") > 0, "ANSWERED").otherwise("NONE").alias("outcome"), texts.alias("values"), F.transform("r", lambda x: x["evidence_id"]).alias("cited"))
     if request.intent in ("item_documents", "item_to_emails"):
-        mine = rows.where((F.col("workflow") == request.workflow) & (F.col("identifier") == request.identifier))
+        of = _emails(rows) if request.intent == "item_to_emails" else rows
+        mine = of.where((F.col("workflow") == request.workflow) & (F.col("identifier") == request.identifier))
         return mine.agg(F.array_sort(F.collect_set("document_id")).alias("v")).select(F.lit(request.intent).alias("intent"), F.when(F.size("v") > 0, "ANSWERED").otherwise("NONE").alias("outcome"), F.col("v").alias("values"), F.col("v").alias("cited"))
     if request.identifier:
         return read_field(rows, request)

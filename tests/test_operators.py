@@ -147,3 +147,28 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "parts")).count() == 3
     sinks.export_json(df, str(tmp_path / "json"), F.col("i") == 1)
     assert [r["value"] for r in spark.read.text(str(tmp_path / "json")).collect()] == ['{"i":1,"t":"a"}']
+
+
+@pytest.mark.parametrize(
+    "question,outcome,values",
+    [
+        ("List all RFIs", "ANSWERED", sorted(["42", "7", *map(str, range(100, 112))])),
+        ("List all documents", "ANSWERED", sorted(["a1.eml", "d1", "d2", "d3", "d4", "d5", *(f"n{i}" for i in range(100, 112))])),
+        ("How many emails are there?", "ANSWERED", ["1"]),
+        ("Which RFIs are open?", "ANSWERED", ["42"]),
+        ("list rfis by status", "ANSWERED", sorted(["42: Open", "7: CONFLICT", *(f"{i}: NONE" for i in range(100, 112))])),
+        ("Which RFIs does email A1.eml mention?", "ANSWERED", ["42"]),
+        ("Which emails mention RFI 42?", "ANSWERED", ["a1.eml"]),
+        ("What is the subject of email A1.eml?", "ANSWERED", ["Pipe size"]),
+        ("Show the thread of a1.eml", "UNSUPPORTED", []),
+        ("What are the attachments of a1.eml?", "UNSUPPORTED", []),
+        ("Which drawings does RFI 42 reference?", "UNSUPPORTED", []),
+        ("Which clauses does RFI 42 reference?", "UNSUPPORTED", []),
+        ("Which submittals are related to RFI 42?", "UNSUPPORTED", []),
+    ],
+)
+def test_questions_with_a_plan_or_none(spark, question, outcome, values):
+    more = [("m1", "RFI", "42", None, "a1.eml", "From: x@y.z\nSubject: Pipe size\nsee RFI 42"), *((f"f{i}", "RFI", str(i), "QUESTION", f"n{i}", "What colour?") for i in range(100, 112))]
+    rows = spark.createDataFrame(EVIDENCE + more, "evidence_id string, workflow string, identifier string, role string, document_id string, raw_text string")
+    r = planner.ask(rows, question).first()
+    assert (r["outcome"], r["values"]) == (outcome, values)
