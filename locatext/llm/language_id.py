@@ -1,10 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-The model is a log-probability matrix (buckets x languages). It is fitted on a
-bounded sample (``FIT_ROWS_PER_LANG`` rows of each language, chosen by a hash of
-their text so that every source is met in proportion) and broadcast; its size is
-fixed by ``BUCKETS`` and the number of languages, never by the input. Scoring is
-one pass over whole texts in numpy."""
+The model is a log-probability matrix (buckets x languages). It is fitted on
+all labelled rows that are not held out, and broadcast; its size is fixed by
+``BUCKETS`` and the number of languages, never by the input. Scoring is one pass over
+whole texts in numpy."""
 
 from __future__ import annotations
 
@@ -21,8 +20,6 @@ from locatext.llm.arrays import text_slices
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 ALPHA = 0.1
-#: Bound of the fitting sample: rows per language.
-FIT_ROWS_PER_LANG = 4000
 #: Code points scored in one numpy pass.
 PASS_CHARS = 1 << 19
 UND = "und"
@@ -85,11 +82,24 @@ def _buckets(f: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
+    met: dict[str, list[np.ndarray]] = {}
+    waiting = 0
+
+    def add() -> None:
+        for lang, found in met.items():
+            have = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
+            have += np.bincount(np.concatenate(found), minlength=BUCKETS)
+        met.clear()
+
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         for row, f in _pass_slices(batch.column("text")):
-            have = totals.setdefault(langs[row], np.zeros(BUCKETS, np.int64))
-            have += np.bincount(_buckets(f), minlength=BUCKETS)
+            met.setdefault(langs[row], []).append(found := _buckets(f))
+            waiting += len(found)
+            if waiting > PASS_CHARS:
+                add()
+                waiting = 0
+    add()
     for lang, counts in totals.items():
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
@@ -123,23 +133,16 @@ class LanguageModel:
         return names, scores
 
 
-def fit(docs: DataFrame, rows_per_lang: int = FIT_ROWS_PER_LANG) -> LanguageModel:
-    """Fit on ``text`` and non-null ``lang`` of ``docs``. Sizes per language come
-    from all rows; of a language with more than ``rows_per_lang`` rows the share
-    rows_per_lang / rows is taken, by a hash of the text (equal texts go together).
+def fit(docs: DataFrame) -> LanguageModel:
+    """Fit on all rows of ``docs`` with ``text`` and ``lang``. Rows are counted where
+    they are read, a table of buckets by languages a task; no row is moved.
     No labelled row gives a model that answers ``und`` for every text."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    share = F.lit(1.0)
-    for lang in langs:
-        if sizes[lang] > rows_per_lang:
-            share = F.when(F.col("lang") == lang, rows_per_lang / sizes[lang]).otherwise(share)
-    picked = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
-    spread = picked.repartition(min(16, max(1, sum(min(n, rows_per_lang) for n in sizes.values()) // 500)), F.xxhash64("text", F.lit(1)))
-    counted = spread.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = labelled.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counted.toArrow()  # at most BUCKETS x languages rows
     counts = np.zeros((BUCKETS, len(langs)))
     column = np.array([langs.index(x) for x in found.column("lang").to_pylist()], dtype=np.int64)
@@ -175,7 +178,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 4 == 2
 
 
-def fit_unheld(docs: DataFrame, rows_per_lang: int = FIT_ROWS_PER_LANG) -> LanguageModel:
+def fit_unheld(docs: DataFrame) -> LanguageModel:
     """Fit on the rows that are not held out (crc32 of the id mod 4 is not 2); a
     null id cannot be placed and is held out."""
-    return fit(docs.where(~F.coalesce(held_out(), F.lit(True))), rows_per_lang)
+    return fit(docs.where(~F.coalesce(held_out(), F.lit(True))))

@@ -45,3 +45,14 @@ def test_pieces_of_a_long_text_score_as_one(monkeypatch, size):
     names, scores = model.score_texts(text)
     best = int(np.argmax(whole))
     assert names == [["a", "b"][best]] and abs(scores[0] - 1 / np.exp(whole - whole[best]).sum()) < 1e-6
+
+
+def test_every_row_is_fitted_whatever_its_text(spark):
+    rows = [(i, "the same text" if i % 3 else f"text {chr(97 + i % 26)} {'x' * (i % 7)}", "en" if i % 2 else "de") for i in range(12000)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for k, lang in enumerate(model.langs):
+        counts = np.zeros(language_id.BUCKETS)
+        for _, f in language_id._pass_slices(pa.array([t for _, t, x in rows if x == lang])):
+            counts += np.bincount(language_id._buckets(f), minlength=language_id.BUCKETS)
+        want = np.log((counts + language_id.ALPHA) / (counts.sum() + language_id.ALPHA * language_id.BUCKETS))
+        assert np.allclose(model.matrix[:, k], want, atol=1e-5)
