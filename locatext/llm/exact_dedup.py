@@ -1,14 +1,15 @@
 """Exact duplicates by an extendible-hash index in the shared folder.
 
 Only DataFrame operations run here. Pass one normalises every text, takes its
-64-bit key and its digest, and writes these figures once. The index has one entry
-per key (so a hot key is one entry however many rows carry it, combined before the
-shuffle). Its directory starts at depth 0 and is doubled while some bucket holds
-more than ``capacity`` entries; only overfull buckets split, so a bucket is named by
-its own depth and the leading bits of its keys, and is one folder of the index. The
-owner of a bucket compares the texts behind every key that two rows share, byte by
-byte; different texts under one key become chained entries. Rows take their entry
-back by key (and by bytes where a key is chained)."""
+64-bit key and its digest, and writes these figures once. Entries are one per key (so
+a hot key is one entry however many rows carry it, combined before the shuffle).
+Texts behind every key that two rows share are compared byte by byte, by grouping on
+key and text; different texts under one key become chained entries. Rows take their
+entry back by a join on key (and on bytes where a key is chained).
+The directory decides none of this: it starts at depth 0, is doubled while some bucket
+holds more than ``capacity`` entries (read from a histogram of leading bits), and names
+the folders in which the shared keys' entries are written. Keys met once are not there,
+and no task works on a bucket."""
 
 from __future__ import annotations
 
@@ -90,7 +91,7 @@ def mark(docs: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, max_
     histogram = {r["top"]: r["n"] for r in entries.groupBy(top).agg(F.count("*").alias("n")).collect()}  # at most 2**max_depth
     leaves = directory(histogram, capacity, max_depth)
 
-    # Keys that several rows share: their texts meet in the owner of the bucket and are compared.
+    # Keys that several rows share: their texts meet by key and text and are so compared.
     shared = entries.where("n > 1").select("key")
     texts = slim.select("id", key(F.col("norm")).alias("key"), "norm").join(shared, "key", "left_semi")
     same = texts.groupBy("key", "norm").agg(F.count("*").alias("n"), F.max("id").alias("keep_id"))
