@@ -8,11 +8,13 @@ heap; the merge order (rank, then position) and so the result are the same."""
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain, repeat
 from pathlib import Path
@@ -28,6 +30,8 @@ SHORT_WORD = 48
 MEMO_WORDS = 500_000
 #: Texts are encoded in pieces of about this many characters, cut where a word must end.
 PIECE_CHARS = 1 << 18
+#: Characters of texts whose new words are merged together.
+ROUND_CHARS = 1 << 20
 #: A rank and the id it makes are one number: rank << _SHIFT | id.
 _SHIFT = 32
 _ID = (1 << _SHIFT) - 1
@@ -40,6 +44,37 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: A space after something other than white space always begins a new word.
 _BREAK = re.compile(r"(?<=\S) ")
+_LATIN = "[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f]+"
+_MARKS = "[!-&(-/:-@\\[-`{-~]*"
+#: Runs whose words are plain without ``WORDS``: letters, marks (no apostrophe), and
+#: perhaps a line end with letters and marks after it.
+_PLAIN = re.compile(f"({_LATIN})({_MARKS})(?:(\n)({_LATIN})({_MARKS}))?")
+
+
+def _words_of(run: str) -> list[str]:
+    """The words of a space and ``run``, which starts after a break."""
+    if m := _PLAIN.fullmatch(run):
+        head, marks, line, more, last = m.groups()
+        found = [" " + head, marks] if marks else [" " + head]
+        if line:
+            found += (line, more, last) if last else (line, more)
+        return found
+    return WORDS.findall(" " + run)
+
+
+Entry = tuple[str, bytes, int]
+
+
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Millions of small tuples and strings hold no cycles: don't search them for any."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 @lru_cache(maxsize=1)
@@ -74,7 +109,8 @@ class ByteBpe:
         self._keys = keys[order]
         self._packed = np.array(list(self.packed.values()), dtype=np.int64)[order]
         #: Keyed by the text after a break: decimal ids, decoded bytes, number of ids.
-        self.runs: dict[str, tuple[str, bytes, int]] = {}
+        self.runs: dict[str, Entry] = {}
+        self._said = {i: str(i) for i in self.token_bytes}
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Packed ranks of pairs; a side of -1 has none."""
@@ -100,8 +136,12 @@ class ByteBpe:
                     lows = ranks[np.arange(len(row)), i]
                     going = lows < _NONE
                     if not going.all():
-                        for k in np.flatnonzero(~going).tolist():
-                            out[row[k]] = [x for x in parts[k].tolist() if x >= 0]
+                        done = parts[~going]
+                        left = done >= 0
+                        flat, at = done[left].tolist(), 0
+                        for k, n in zip(row[~going].tolist(), left.sum(axis=1).tolist(), strict=True):
+                            out[k] = flat[at : at + n]
+                            at += n
                         parts, ranks, row, i, lows = parts[going], ranks[going], row[going], i[going], lows[going]
                         if not len(row):
                             break
@@ -171,20 +211,24 @@ class ByteBpe:
     def _parts(self, text: str) -> Iterator[str]:
         return self.added_pattern.split(text) if self.added_pattern and any(t in text for t in self.added) else (text,)
 
-    def _entry(self, ids: list[int]) -> tuple[str, bytes, int]:
-        return ",".join(map(str, ids)), self.decode_bytes(ids), len(ids)
-
-    def learn(self, runs: list[str]) -> None:
-        """Encode the runs not known yet, all their words together."""
-        if len(self.runs) + len(runs) > MEMO_WORDS:
-            self.runs.clear()
-        split = [WORDS.findall(" " + r) for r in runs]
-        of_word = {w: k for k, w in enumerate({w for ws in split for w in ws})}
-        ids = self.encode_words([w.encode() for w in of_word])
-        for r, ws in zip(runs, split, strict=True):
-            self.runs[r] = self._entry(list(chain.from_iterable(ids[of_word[w]] for w in ws)))
-
-    def encode_iter(self, text: str) -> Iterator[tuple[str, bytes, int]]:
+    def _entry(self, ids: list[int]) -> Entry:
+        return ",".join(map(self._said.__getitem__, ids)), self.decode_bytes(ids), len(ids)
+
+    def learn(self, runs: set[str]) -> None:
+        """Encode those of ``runs`` not known yet, all their words together. A full memo
+        keeps only the runs asked for."""
+        new = [r for r in runs if r not in self.runs]
+        if len(self.runs) + len(new) > MEMO_WORDS:
+            self.runs = {r: self.runs[r] for r in runs if r in self.runs}
+        if not new:
+            return
+        split = list(map(_words_of, new))
+        words = list(dict.fromkeys(chain.from_iterable(split)))
+        entry = dict(zip(words, map(self._entry, self.encode_words([w.encode() for w in words])), strict=True))
+        for r, ws in zip(new, split, strict=True):
+            self.runs[r] = entry[ws[0]] if len(ws) == 1 else _joined([entry[w] for w in ws])
+
+    def encode_iter(self, text: str) -> Iterator[Entry]:
         """Piece by piece, for the whole text: decimal ids, the bytes decoded from them and
         their number. Added tokens stand for themselves."""
         for part in self._parts(text):
@@ -192,24 +236,24 @@ class ByteBpe:
                 yield self._entry([self.added[part]])
                 continue
             for piece in self._pieces(part):
-                first, *rest = _BREAK.split(piece)
-                head = self._entry(list(chain.from_iterable(map(self.encode_word, map(str.encode, WORDS.findall(first))))))
-                if new := [r for r in set(rest) if r not in self.runs]:
-                    self.learn(new)
-                    new = [r for r in set(rest) if r not in self.runs]  # of a memo just emptied
-                    if new:
-                        self.learn(new)
-                got = [head, *map(self.runs.__getitem__, rest)] if head[2] else list(map(self.runs.__getitem__, rest))
-                yield ",".join([x[0] for x in got]), b"".join([x[1] for x in got]), sum([x[2] for x in got])
-
-    def prepare(self, texts: list[str]) -> None:
-        """Learn the runs of many texts in one go (small texts share their passes)."""
-        new: set[str] = set()
-        for text in texts:
-            if len(text) <= PIECE_CHARS:
-                new.update(r for part in self._parts(text) if part not in self.added for r in _BREAK.split(part)[1:])
-        if missing := [r for r in new if r not in self.runs]:
-            self.learn(missing)
+                runs = _BREAK.split(piece)
+                self.learn(set(runs[1:]))
+                yield self._encoded(runs)
+
+    def _encoded(self, runs: list[str]) -> Entry:
+        """The entry of a stretch of text cut at its breaks, whose runs are known."""
+        head = self._entry(list(chain.from_iterable(map(self.encode_word, map(str.encode, WORDS.findall(runs[0]))))))
+        got = list(map(self.runs.__getitem__, runs[1:]))
+        return _joined([head, *got] if head[2] else got)
+
+    def encode_many(self, texts: list[str]) -> Iterator[Iterable[Entry]]:
+        """``encode_iter`` of every text; those of one piece are encoded together."""
+        with _no_cycles():
+            split = [_BREAK.split(t) if len(t) <= PIECE_CHARS and not any(x in t for x in self.added) else None for t in texts]
+            self.learn(set(chain.from_iterable(r[1:] for r in split if r)))
+            known = [[self._encoded(r)] if r else None for r in split]
+        for text, entries in zip(texts, known, strict=True):
+            yield entries or self.encode_iter(text)
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for said, _, n in self.encode_iter(text) if n for i in said.split(",")]
@@ -221,10 +265,17 @@ class ByteBpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-def digests(codec: ByteBpe, text: str) -> tuple[int, str, str]:
+def _joined(entries: list[Entry]) -> Entry:
+    if not entries:
+        return "", b"", 0
+    said, data, counts = zip(*entries, strict=True)
+    return ",".join(said), b"".join(data), sum(counts)
+
+
+def digests(entries: Iterable[Entry]) -> tuple[int, str, str]:
     """Number of ids, digest of the ids, digest of the text decoded from them."""
     n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
-    for said, data, count in codec.encode_iter(text):
+    for said, data, count in entries:
         if not count:
             continue
         of_ids.update((("," if n else "") + said).encode())
@@ -233,17 +284,29 @@ def digests(codec: ByteBpe, text: str) -> tuple[int, str, str]:
     return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
+def _rounds(texts: list[str]) -> Iterator[slice]:
+    """Consecutive texts that are encoded together: ``ROUND_CHARS``, or one text."""
+    at = size = 0
+    for i, text in enumerate(texts):
+        if i > at and size + len(text) > ROUND_CHARS:
+            yield slice(at, i)
+            at, size = i, 0
+        size += len(text)
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
+@lru_cache(maxsize=2)
+def codec_of(spec: str) -> ByteBpe:
+    """One codec a worker process, which keeps its memo from task to task."""
+    return ByteBpe(spec)
+
+
 def _codec(spark: SparkSession, vocab_path: str):
     """The vocabulary file is read once on the driver and broadcast (a fixed size)."""
     shared = spark.sparkContext.broadcast(Path(vocab_path).read_text(encoding="utf-8"))
-    made: list[ByteBpe] = []
-
-    def get() -> ByteBpe:
-        if not made:
-            made.append(ByteBpe(shared.value))
-        return made[0]
 
-    return get
+    return lambda: codec_of(shared.value)
 
 
 def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
@@ -257,12 +320,11 @@ def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = get()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column("text").to_pylist()
-                codec.prepare(texts)
-                rows = [digests(codec, t) for t in texts]
-                cols = [part.column("k"), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string())))]
+            every = batch.column("text").to_pylist()
+            for part in _rounds(every):
+                texts = every[part]
+                rows = list(map(digests, codec.encode_many(texts)))
+                cols = [batch.column("k").slice(part.start, len(texts)), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string())))]
                 names = ["k", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
                     ids = [codec.encode(t) for t in texts]

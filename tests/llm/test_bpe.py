@@ -52,7 +52,8 @@ def test_pieces_and_full_memo_change_nothing(both, monkeypatch):
     own.runs.clear()
     ids = lib.encode(text, add_special_tokens=False).ids
     assert own.encode(text) == ids
-    n, a, b = bpe.digests(own, text)
+    n, a, b = bpe.digests(own.encode_iter(text))
+    assert [bpe.digests(x) for x in own.encode_many([text, text[:9]])][0] == (n, a, b)
     assert (n, a, b) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
@@ -65,3 +66,27 @@ def test_rows(spark, both):
     assert by[1]["n_tokens"] == by[2]["n_tokens"] == 0 and by[1]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
     assert by[3]["ids"] == both[1].encode("hi there").ids and by[3]["decoded"] == "hi there"
     assert bpe.encode_decode(docs.limit(0), PATH).count() == 0
+
+
+def test_plain_runs_have_the_words_of_the_pattern():
+    rnd = random.Random(8)
+    kinds = ["aB", "éßÖ", "ɏǅƻ", "×÷", ".,&$#*|!", "'", "\n", "1", " ", "\t"]
+    for _ in range(20000):
+        run = "".join(rnd.choice(rnd.choice(kinds)) for _ in range(rnd.randrange(1, 7)))
+        if not run[0].isspace():
+            assert bpe._words_of(run) == bpe.WORDS.findall(" " + run), repr(run)
+
+
+def test_whole_table_against_the_library(spark, both):
+    """op5_bpe on every document of sf0.001."""
+    from locatext.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r for r in QUERIES["op5_bpe"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        ids = both[1].encode(r["text"] or "", add_special_tokens=False).ids
+        said = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        text = hashlib.sha256(both[1].decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert (len(ids), said, text) == tuple(got[r["doc_id"]][c] for c in ("n_tokens", "ids_sha256", "decoded_sha256"))
