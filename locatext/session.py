@@ -36,21 +36,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where the cluster names
-    one; otherwise (tests, one machine) a folder under the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    """The folder all executors share: spark.checkpoint.dir. Only a session on one
+    machine (tests) may leave it unset, and then gets a folder under the warehouse."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         warehouse = spark.conf.get("spark.sql.warehouse.dir", "") or "file:/tmp/locatext"
         named = os.path.join(warehouse, "locatext-shared")
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; whatever is there goes when the application ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    on_store = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = on_store.getFileSystem(spark._jsc.hadoopConfiguration())
+    # Only paths that exist can be marked for removal.
+    store.mkdirs(on_store)
+    store.deleteOnExit(on_store)
+    return path
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables made by ``written`` that no plan still to be run reads."""
+    for df in tables:
+        on_store = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        on_store.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(on_store, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back,
     so a lost executor costs a re-read and not the whole plan."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch_path(spark, label)
+    df.write.mode("append").parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch = path
+    return back
