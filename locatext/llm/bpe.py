@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locatext.llm.arrays import bound_batches
+
 SHORT_WORD = 48
 #: Words kept encoded per worker; the memo is emptied when full (results never depend on it).
 MEMO_WORDS = 500_000
@@ -62,6 +64,14 @@ def _words_of(run: str) -> list[str]:
     return WORDS.findall(" " + run)
 
 
+def _cut(text: str) -> list[str]:
+    """``text`` cut at its breaks. Where white space never stands before a space, these
+    are its spaces."""
+    if text[:1] != " " and "  " not in text and "\n " not in text and text.replace("\n", "").isprintable():
+        return text.split(" ")
+    return _BREAK.split(text)
+
+
 Entry = tuple[str, bytes, int]
 
 
@@ -103,20 +113,36 @@ class ByteBpe:
         self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.token_bytes |= {i: content.encode() for content, i in self.added.items()}
         self.added_pattern = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        #: The same pairs for whole arrays: sorted left << 32 | right, and their packed ranks.
+        #: The same pairs for whole arrays: keys (left << 32 | right) and packed ranks in
+        #: an open hash table; ``_steps`` is the farthest a key lies from its slot.
+        size = 1 << max(10, (len(self.packed) * 8).bit_length())
+        self._shift = np.uint64(64 - size.bit_length() + 1)
+        self._keys = np.full(size + 64, -1, dtype=np.int64)
+        self._ranks = np.full(size + 64, _NONE, dtype=np.int64)
+        self._steps = 1
         keys = np.array([a << _SHIFT | b for a, b in self.packed], dtype=np.int64)
-        order = np.argsort(keys)
-        self._keys = keys[order]
-        self._packed = np.array(list(self.packed.values()), dtype=np.int64)[order]
+        for key, slot, rank in zip(keys.tolist(), self._slot(keys).tolist(), self.packed.values(), strict=True):
+            at = slot
+            while self._keys[at] >= 0:
+                at += 1
+            self._keys[at], self._ranks[at] = key, rank
+            self._steps = max(self._steps, at - slot + 1)
         #: Keyed by the text after a break: decimal ids, decoded bytes, number of ids.
         self.runs: dict[str, Entry] = {}
         self._said = {i: str(i) for i in self.token_bytes}
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
+
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Packed ranks of pairs; a side of -1 has none."""
         key = left.astype(np.int64) << _SHIFT | right
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        return np.where((left >= 0) & (right >= 0) & (self._keys[at] == key), self._packed[at], _NONE)
+        key[(left < 0) | (right < 0)] = -2
+        at = self._slot(key)
+        found = np.where(self._keys[at] == key, self._ranks[at], _NONE)
+        for step in range(1, self._steps):
+            found = np.where(self._keys[at + step] == key, self._ranks[at + step], found)
+        return found
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """``encode_word`` of many words at once: the rank arrays of words of like length
@@ -236,7 +262,7 @@ class ByteBpe:
                 yield self._entry([self.added[part]])
                 continue
             for piece in self._pieces(part):
-                runs = _BREAK.split(piece)
+                runs = _cut(piece)
                 self.learn(set(runs[1:]))
                 yield self._encoded(runs)
 
@@ -249,7 +275,7 @@ class ByteBpe:
     def encode_many(self, texts: list[str]) -> Iterator[Iterable[Entry]]:
         """``encode_iter`` of every text; those of one piece are encoded together."""
         with _no_cycles():
-            split = [_BREAK.split(t) if len(t) <= PIECE_CHARS and not any(x in t for x in self.added) else None for t in texts]
+            split = [_cut(t) if len(t) <= PIECE_CHARS and not any(x in t for x in self.added) else None for t in texts]
             self.learn(set(chain.from_iterable(r[1:] for r in split if r)))
             known = [[self._encoded(r)] if r else None for r in split]
         for text, entries in zip(texts, known, strict=True):
@@ -314,7 +340,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", keep
     with ``keep_ids``, ``ids`` (array<int>) and ``decoded``. A null text is empty (no
     ids); repeated rows are each answered; other columns are not read."""
     get = _codec(docs.sparkSession, vocab_path)
-    src = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    src = bound_batches(docs).select(F.col(id_col).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     more = ", ids array<int>, decoded string" if keep_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

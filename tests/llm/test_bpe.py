@@ -77,6 +77,13 @@ def test_plain_runs_have_the_words_of_the_pattern():
             assert bpe._words_of(run) == bpe.WORDS.findall(" " + run), repr(run)
 
 
+def test_texts_are_cut_at_breaks():
+    rnd = random.Random(9)
+    for _ in range(5000):
+        text = "".join(rnd.choice("aé. \n \t\x1c\u3000") for _ in range(rnd.randrange(9)))
+        assert bpe._cut(text) == bpe._BREAK.split(text), repr(text)
+
+
 def test_whole_table_against_the_library(spark, both):
     """op5_bpe on every document of sf0.001."""
     from locatext.llm.queries import QUERIES
