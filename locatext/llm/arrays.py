@@ -9,9 +9,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+#: Bytes of one Arrow batch from Spark, where the session leaves Spark's default (64 MB,
+#: which a task holds twice outside the heap and its worker twice again).
+BATCH_BYTES = 8 << 20
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 #: Bytes handled in one numpy pass; a longer text is one pass of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -24,6 +30,15 @@ IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches bounded to ``BATCH_BYTES`` in its session (a longer text
+    is a batch of its own). A bound that the user has set stays."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF) == _BATCH_DEFAULT:
+        conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
+    return df
+
+
 def _power(kind: str, n: int) -> np.ndarray:
     """Powers 0..n-1 of the base (kind "p") or of its inverse mod 2**64 (kind "i")."""
     have = _powers.get(kind)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locatext.llm.arrays import bound_batches
+
 OPEN, HEAD, COLON, CLOSE = "<turn>\n", "### ", ":\n", "\n</turn>\n"
 #: What the parser gives a meaning to, longest first: only these can conflict.
 _ROLE_CONTROL = re.compile(r"\\|:|\n")
@@ -94,7 +96,7 @@ def format_conversations(turns: DataFrame, keep_text: bool = False, loss_role: s
     start and end in it). Null role or text is empty; a null turn comes first; rows of
     equal turn are ordered by role and text, repeated rows are repeated turns; a null
     conv_id is a conversation of its own. Other columns are not read."""
-    src = turns.select(F.col("conv_id").alias("k"), F.col("turn").alias("n"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    src = bound_batches(turns).select(F.col("conv_id").alias("k"), F.col("turn").alias("n"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = src.schema["k"].dataType.simpleString()
     more = ", formatted string, loss_spans array<struct<start:long,end:long>>" if keep_text else ""
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locatext.llm import arrays
-from locatext.llm.arrays import LOWER, mix, span_hashes, text_slices
+from locatext.llm.arrays import bound_batches, LOWER, mix, span_hashes, text_slices
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -175,7 +175,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", mi
     items match nothing; items of fewer than ``min_match`` words match whole; repeated
     documents or items are each reported; other columns are not read."""
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).alias("k"), F.col("text").cast("string").alias("text"))
+    src = bound_batches(docs).select(F.col(id_col).alias("k"), F.col("text").cast("string").alias("text"))
     kind, item_kind = src.schema["k"].dataType.simpleString(), benchmark.schema["item_id"].dataType
     schema = f"k {kind}, item_id {item_kind.simpleString()}, item_words long, covered_words long, coverage double"
     items = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

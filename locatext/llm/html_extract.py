@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locatext.llm.arrays import bound_batches
+
 #: A branch is judged by entropy only on hosts with this many distinct pages that have it.
 MIN_PAGES = 8
 #: Importance (0 to 1) under which a branch goes.
@@ -256,7 +258,7 @@ def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """One row per row of ``pages``: id, url, text, n_chars. Null or empty html gives
     an empty text; a null or hostless url belongs to the empty host; repeated rows are
     each answered; other columns are not read."""
-    src = pages.select(F.col(id_col).alias("k"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    src = bound_batches(pages).select(F.col(id_col).alias("k"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), r"^.*@", ""), r":[0-9]*$", ""))
     judged = judged_branches(style_tree(src.select("url", "html")))
     # Hosts with branches to judge are few rows; Spark broadcasts them below its own

@@ -6,7 +6,7 @@ sets at similarity 0.8 differ in about K/5 of the places; pairs that differ in a
 pigeonhole principle some chunk i holds at most e_i differences when the (e_i + 1) sum
 to T + 1 or more. So each chunk is entered once for every choice of e_i places to be
 left out (``index_keys``), and pairs that share a key are the candidates. At 0.8 a pair
-lies beyond T with a probability of about 3e-5.
+lies beyond T with a probability of about 2e-5.
 
 Nothing is ever paired up within a bucket:
 1. sets that are equal are one class, represented by its smallest id (combined before
@@ -29,32 +29,33 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locatext.llm.arrays import LOWER, mix, shingles, span_hashes, text_slices, words
-from locatext.session import written
+from locatext.llm.arrays import LOWER, bound_batches, mix, shingles, span_hashes, text_slices, words
+from locatext.session import release, written
 
 #: Places of a signature and bits of each.
-K, BITS = 80, 16
+K, BITS = 64, 16
 #: Places in which a pair may differ to be surely found.
-T = 31
-CHUNK = 5
+T = 27
+CHUNK = 4
 SIMILARITY, NEAR, CLOSE = 80, 60, 40
 #: Pivots a bucket gets before its remaining classes meet in blocks.
 PIVOTS = 2
 #: Classes of an unresolved bucket or of a pivot's neighbourhood in one block.
 BLOCK = 2048
+#: Bytes of texts whose sets a worker holds at once while it compares them (or one pair).
+COMPARE_BYTES = 2 << 20
 
 
 def _choices() -> list[tuple[int, ...]]:
-    """For each index key the places it keeps."""
+    """For each index key the places it keeps: the first chunks allow one error, as many
+    as it takes for the (e_i + 1) to sum to T + 1, the others none."""
     chunks = [tuple(range(a, a + CHUNK)) for a in range(0, K, CHUNK)]
-    errors = [1] * len(chunks)
-    spare = (T + 1) - sum(e + 1 for e in errors)
-    for i in range(max(0, spare)):
-        errors[i] += 1
-    return [keep for chunk, e in zip(chunks, errors, strict=True) for keep in combinations(chunk, CHUNK - e)]
+    loose = T + 1 - len(chunks)
+    return [keep for i, chunk in enumerate(chunks) for keep in combinations(chunk, CHUNK - (i < loose))]
 
 
 KEYS = _choices()
@@ -94,7 +95,7 @@ def index_keys(signature: np.ndarray) -> np.ndarray:
     parts = mix(signature.astype(np.uint64) + _PLACE[None, :])
     out = np.empty((len(signature), len(KEYS)), dtype=np.uint64)
     for i, keep in enumerate(KEYS):
-        out[:, i] = parts[:, list(keep)].sum(axis=1, dtype=np.uint64) + np.uint64(i)
+        out[:, i] = parts[:, list(keep)].sum(axis=1, dtype=np.uint64) + np.uint64(i + 1)
     return mix(out)
 
 
@@ -129,6 +130,27 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["key", "cls"])
 
 
+def _met_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a sorted column ``key`` whose key another row has, in one pass."""
+    held: pa.RecordBatch | None = None
+    before = None
+    for batch in batches:
+        if held is not None and batch.num_rows:
+            # The last row of a batch waits for the first of the next.
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        same = np.zeros(len(key) + 1, dtype=bool)
+        same[1:-1] = key[1:] == key[:-1]
+        same[0] = before is not None and before == key[0]
+        before = key[-2] if len(key) > 1 else before
+        yield batch.slice(0, len(key) - 1).filter(pa.array((same[1:] | same[:-1])[:-1]))
+        held = batch.slice(len(key) - 1)
+    if held is not None and before is not None and before == held.column("key")[0].as_py():
+        yield held
+
+
 def _compare(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     def sets(ids: pa.Array, texts: pa.Array) -> list[np.ndarray]:
         """The rows' sets; a pivot that comes again is read once."""
@@ -137,8 +159,10 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         return [own[i] for i in back]
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        size = np.add(*(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ta", "tb")))
+        rounds = np.flatnonzero(np.diff(np.cumsum(size) // COMPARE_BYTES)) + 1
+        for at, end in zip([0, *rounds.tolist()], [*rounds.tolist(), batch.num_rows], strict=True):
+            part = batch.slice(at, end - at)
             rows: list[list] = [[], [], [], [], []]
             for x, y in zip(sets(part.column("a"), part.column("ta")), sets(part.column("b"), part.column("tb")), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -233,6 +257,7 @@ def components(links: DataFrame, label: str = "near-components", rounds: int = 6
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").unionByName(least.select("v", F.col("m").alias("u"))).distinct()
         new = written(small, label)
         before, after = (df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first() for df in (edges, new))
+        release(edges)
         edges = new
         if before == after:
             break
@@ -275,15 +300,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", shingle: int = 4) -
     that repeat an id are one document to the links, and each comes back. A null id is
     linked with nothing (its component_id is null, kept is true). Other columns are not
     read. Links hold where 100 * intersection >= 80 * union of the full sets."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    src = bound_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     made = written(src.mapInArrow(_sets(shingle), "id long, n long, c0 long, c1 long, sig binary"), "near-signatures")
     known = made.where("n > 0 AND id IS NOT NULL")
     code = ["n", "c0", "c1"]
     classes = written(known.groupBy(*code).agg(F.min("id").alias("cls"), F.min("sig").alias("sig")), "near-classes")
 
     index = classes.select("cls", "sig").mapInArrow(_keys, "key long, cls long")
-    buckets = index.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = written(index.join(buckets, "key"), "near-buckets")
+    # Every class has all KEYS: however large a bucket, its key is a small part of the rows.
+    met = written(index.repartition("key").sortWithinPartitions("key").mapInArrow(_met_twice, "key long, cls long"), "near-buckets")
+    shared = met.join(met.groupBy("key").agg(F.count("*").alias("size")), "key")
     degree = shared.groupBy("cls").agg(F.sum("size").alias("degree"))
     rest = shared.join(degree, "cls").select("key", "cls", "degree")
     candidates = shared.select(F.col("cls").alias("id")).distinct()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locatext.llm.arrays import span_hashes, text_slices
+from locatext.llm.arrays import bound_batches, span_hashes, text_slices
 from locatext.session import written
 
 LENGTH = 400
@@ -312,7 +312,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", keep_text: bool = False, **o
     other texts, and ids may be null; equal texts are repeats of each other wherever
     they stand. Texts shorter than the length are never cut. Other columns are not read."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    src = bound_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     found = spans(src, **options).select(F.col("id").alias("fid"), F.col("tag").alias("ftag"), "spans")
     joined = src.join(found, F.col("id").eqNullSafe(F.col("fid")) & (F.col("tag") == F.col("ftag")), "left").select("id", "text", "spans")
     more = ", spans array<struct<s:long,e:long>>, kept binary" if keep_text else ""

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locatext.llm.arrays import bound_batches
+
 _SPACE_NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs (RFC 4122)
 RECORD = "record_id string, record_type string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, source_headers string, block binary"
 _RECORD_ARROW = pa.schema([(n.split()[0], pa.binary() if n.endswith("binary") else pa.string()) for n in RECORD.split(", ")])
@@ -91,7 +93,7 @@ def responses(pages: DataFrame) -> DataFrame:
     """Response records of fetched ``pages`` (url, html; ``page_id`` where there is one
     makes ids of repeated rows differ). Null url and html are empty."""
     key = F.col("page_id") if "page_id" in pages.columns else F.lit(None)
-    src = pages.select(F.coalesce(key.cast("string"), F.lit("")).alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    src = bound_batches(pages).select(F.coalesce(key.cast("string"), F.lit("")).alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +138,7 @@ def derive(records: DataFrame) -> DataFrame:
     """Metadata and conversion records of every ``response`` in ``records``; records of
     other types give none. Nulls count as absent headers or an empty block; repeated
     responses give repeated derivatives; further columns are ignored."""
-    src = records.where(F.col("record_type") == "response").select(*[n.split()[0] for n in RECORD.split(", ")])
+    src = bound_batches(records).where(F.col("record_type") == "response").select(*[n.split()[0] for n in RECORD.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

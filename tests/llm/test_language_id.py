@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -6,6 +8,27 @@ from pyspark.sql import functions as F
 from locatext.llm import language_id
 from locatext.llm import queries as Q
 
+
+
+def plain_buckets(text):
+    """Buckets of all n-grams of a text, one by one: its words of letters, lower-cased,
+    with one space before, between and after them."""
+    folded = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+    said = " " + " ".join(folded.split()) + " "
+    out = []
+    for n in language_id.ORDERS:
+        for at in range(len(said) - n + 1):
+            gram = said[at : at + n]
+            if gram.isspace():
+                continue
+            h = n * 0x9E3779B1 & 0xFFFFFFFF
+            for c in gram:
+                h = (h ^ ord(c)) * 0x85EBCA6B & 0xFFFFFFFF
+                h ^= h >> 13
+            out.append((h * 0xC2B2AE35 & 0xFFFFFFFF) >> 16)
+    return out
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -36,15 +59,22 @@ def test_empty_table_and_no_labels(spark):
 
 @pytest.mark.parametrize("size", [7, 50])
 def test_pieces_of_a_long_text_score_as_one(monkeypatch, size):
-    text = pa.array(["Ärger mit dem Hund, and then some. " * 9])
+    said = ["", "Ärger mit dem Hund, and then some. " * 9, None, "...", "a", "1 bc"]
+    text = pa.array(said)
     rng = np.random.default_rng(1)
     matrix = np.log(rng.random((language_id.BUCKETS, 2)).astype(np.float32))
     model = language_id.LanguageModel(["a", "b"], matrix, np.zeros(2))
-    whole = [model.matrix.take(language_id._buckets(f), axis=0).sum(axis=0, dtype=np.float64) for _, f in language_id._pass_slices(text)][0]
     monkeypatch.setattr(language_id, "PASS_CHARS", size)
     names, scores = model.score_texts(text)
-    best = int(np.argmax(whole))
-    assert names == [["a", "b"][best]] and abs(scores[0] - 1 / np.exp(whole - whole[best]).sum()) < 1e-6
+    for name, score, t in zip(names, scores, said, strict=True):
+        found = plain_buckets(t or "")
+        whole = model.matrix[found].sum(axis=0) if found else None
+        assert (name, score) == ("und", 0.0) if whole is None else name == "ab"[whole.argmax()] and abs(score - 1 / np.exp(whole - whole.max()).sum()) < 1e-6
+
+
+def test_ties_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(1, "same", "b"), (2, "same", "a")], "doc_id long, text string, lang string")
+    assert {(r["lang_pred"], r["score"]) for r in language_id.identify(docs, language_id.fit(docs)).collect()} == {("a", 0.5)}
 
 
 def test_every_row_is_fitted_whatever_its_text(spark):
@@ -52,7 +82,28 @@ def test_every_row_is_fitted_whatever_its_text(spark):
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     for k, lang in enumerate(model.langs):
         counts = np.zeros(language_id.BUCKETS)
-        for _, f in language_id._pass_slices(pa.array([t for _, t, x in rows if x == lang])):
-            counts += np.bincount(language_id._buckets(f), minlength=language_id.BUCKETS)
+        for t in (t for _, t, x in rows if x == lang):
+            counts += np.bincount(plain_buckets(t), minlength=language_id.BUCKETS)
         want = np.log((counts + language_id.ALPHA) / (counts.sum() + language_id.ALPHA * language_id.BUCKETS))
         assert np.allclose(model.matrix[:, k], want, atol=1e-5)
+
+
+def test_whole_table_against_one_text_at_a_time(spark):
+    """op2_language_id on every document of sf0.001."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in docs}
+    learned = [r for r in docs if not held[r["doc_id"]] and r["text"] is not None and r["lang"] is not None]
+    langs = sorted({r["lang"] for r in learned})
+    counts = np.zeros((language_id.BUCKETS, len(langs)))
+    for r in learned:
+        np.add.at(counts, (plain_buckets(r["text"]), langs.index(r["lang"])), 1)
+    matrix = np.log((counts + language_id.ALPHA) / (counts.sum(axis=0) + language_id.ALPHA * language_id.BUCKETS))
+    prior = np.log([sum(r["lang"] == x for r in learned) / len(learned) for x in langs])
+    got = {r["doc_id"]: r for r in Q.op2_language_id(spark, d).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        found, out = plain_buckets(r["text"] or ""), got[r["doc_id"]]
+        total = prior + matrix[found].sum(axis=0)
+        want = (langs[total.argmax()], 1 / np.exp(total - total.max()).sum()) if found else ("und", 0.0)
+        assert out["held_out"] == held[r["doc_id"]] and out["lang_pred"] == want[0] and abs(out["score"] - want[1]) < 1e-3

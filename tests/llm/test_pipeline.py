@@ -56,3 +56,18 @@ def test_item_text_alone_is_a_leak(spark):
     docs = spark.createDataFrame([(1, item["text"]), (2, "clean words only here")], "doc_id long, text string")
     assert [r["doc_id"] for r in P.decontamination_stage(spark, docs, D).collect()] == [2]
     assert decontaminate.COVERAGE == 0.5
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """Names that the operators use themselves do not clash."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    extra = ["lang_pred", "score", "__id", "__stay", "id", "tag", "key", "norm", "k0", "kept", "component_id", "n_shingles"]
+    wide = docs
+    for c in extra:
+        wide = wide.withColumn(c, docs["doc_id"])
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, wide, D)
+        assert got.columns == wide.columns, name
+        rows = got.collect()
+        assert rows and all(r[c] == r["doc_id"] for r in rows for c in extra), name
+        assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in stage(spark, docs, D).collect()}, name
