@@ -19,40 +19,41 @@ from locatext.session import table, written
 MIN_LANGUAGE_SCORE = 0.5
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (a null id is one id)."""
-    ids = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+def _ids(found: DataFrame) -> DataFrame:
+    return found.select(F.col("doc_id").alias("__id")).distinct()
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a known language stay; texts without a letter (and null or empty ones)
-    or of uncertain language go."""
-    model = language_id.fit_unheld(docs)
-    found = language_id.identify(docs, model, carry=tuple(c for c in docs.columns if c != "doc_id"))
-    good = found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return good.select(*docs.columns)
+    or of uncertain language go. Repeated rows are each judged; of an empty table, or
+    one without a labelled row to learn from, nothing stays."""
+    return language_id.certain(docs, language_id.fit_unheld(docs), MIN_LANGUAGE_SCORE)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays. Null is empty; a null id
+    ranks below every other; rows that repeat the id that stays all stay."""
     return exact_dedup.keep_largest_id(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates (five-word shingles, similarity 0.8 or more)
-    the document with the smallest doc_id stays; all other documents stay."""
-    return _keep(docs, near_dedup.near_duplicates(docs, shingle=5).where("kept"))
+    the document with the smallest doc_id stays; all other documents stay, as do texts
+    without words, null texts and rows with a null id. Rows that repeat an id are one
+    document."""
+    stay = _ids(near_dedup.near_duplicates(docs, shingle=5).where("kept"))
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """Documents that hold a benchmark item go, and with them rows that repeat their id;
+    null and wordless texts hold none."""
+    leaks = _ids(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["__id"]), "left_anti")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of every document that is left."""
+    """Token count and digests of every row that is left; a null text has no tokens."""
     return bpe.encode_decode(docs, byte_vocabulary())
 
 
@@ -70,6 +71,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; an empty table gives no rows. Columns besides
+    doc_id, text and lang may have any name and pass through all stages but the last."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
