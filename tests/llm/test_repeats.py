@@ -32,14 +32,35 @@ def made(rnd, n):
     return out
 
 
-@pytest.mark.parametrize("options", [dict(length=20, gram=6), dict(length=20, gram=6, max_pieces=2, step=4), dict(length=24, gram=5, max_pieces=1, step=7), dict(length=12, gram=12)])
+def brute_words(rows, length):
+    """Words in runs of ``length`` that another document (id and text) holds too."""
+    said = [(t or "").encode().split() for _, t in rows]
+    owners = {}
+    for r, w in zip(rows, said, strict=True):
+        for i in range(len(w) - length + 1):
+            owners.setdefault(tuple(w[i : i + length]), set()).add((r[0], r[1] or ""))
+    out = []
+    for w in said:
+        gone = bytearray(len(w))
+        for i in range(len(w) - length + 1):
+            if len(owners[tuple(w[i : i + length])]) > 1:
+                gone[i : i + length] = b"\x01" * length
+        out.append((sum(gone), any(gone)))
+    return out
+
+
+@pytest.mark.parametrize("options", [dict(length=20, gram=6), dict(length=20, gram=6, max_pieces=2, step=4, hot_rows=5), dict(length=24, gram=5, max_pieces=1, step=7), dict(length=12, gram=12, hot_rows=1)])
 def test_against_all_windows(spark, options):
     rnd = random.Random(options["length"] + options.get("max_pieces", 0))
     texts = made(rnd, 60) + ["a" * 300, "ab" * 90, "", None, "x" * 19, "same text that is long enough to be repeated", "same text that is long enough to be repeated"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(5, texts[5]), (6, "another text under a repeated id 123456789"), (None, texts[7]), (None, "nothing like it: 0918273645 @@@@@@@@@")]
-    want = brute([(t or "").encode() for _, t in rows], options["length"])
+    rows += [(200, "a b a c\ta b  a c d"), (201, "x a b a c a b a c"), (202, "q q q q q q q"), (203, "x a b a c a b a c a b"), (203, "x a b a c a b a c a b")]
+    words = options["length"] // 5
+    want = [(*x, *y) for x, y in zip(brute([(t or "").encode() for _, t in rows], options["length"]), brute_words(rows, words), strict=True)]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, tag int, id int")
-    got = sorted((tuple(r) for r in R.remove(docs, **options).collect()), key=str)
+    given = dict(options)
+    kind, runs = R.Strings(1, given.pop("length"), given.pop("gram")), R.Strings(8, words, 2, across=True)
+    got = sorted((tuple(r) for r in R.remove(docs, kind=kind, runs=runs, **given).collect()), key=str)
     assert got == sorted(((i, *w) for (i, _), w in zip(rows, want, strict=True)), key=str)
 
 
@@ -66,10 +87,19 @@ def test_stretches_of_a_long_text(spark, monkeypatch):
     t = "".join(rnd.choice("abcdefgh") for _ in range(3000))
     docs = spark.createDataFrame([(1, t + t[500:900]), (2, t[100:300])], "doc_id long, text string")
     monkeypatch.setattr(R, "STRETCH", 700)
-    got = sorted(tuple(r)[1:] for r in R.remove(docs, length=40, gram=10).collect())
+    got = sorted(tuple(r)[1:5] for r in R.remove(docs, kind=R.Strings(1, 40, 10)).collect())
     assert got == sorted(brute([(t + t[500:900]).encode(), t[100:300].encode()], 40))
 
 
+def test_stretches_of_many_words(spark, monkeypatch):
+    rnd = random.Random(6)
+    words = [rnd.choice("abcdefgh") for _ in range(400)]
+    rows = [(1, " ".join(words)), (2, "\n".join(words[90:180])), (3, " ".join(words[:9]))]
+    monkeypatch.setattr(R, "STRETCH", 70)
+    got = sorted(tuple(r)[0:1] + tuple(r)[5:] for r in R.remove(spark.createDataFrame(rows, "doc_id long, text string"), runs=R.Strings(8, 12, 3, across=True)).collect())
+    assert got == [(r[0], *w) for r, w in zip(rows, brute_words(rows, 12), strict=True)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert R.remove(docs).count() == 0
@@ -78,6 +108,7 @@ def test_empty_table(spark):
 def test_query_against_all_windows(spark):
     d = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
-    want = brute([t.encode() for _, t in rows], 400)
+    want = zip(brute([t.encode() for _, t in rows], 400), brute_words(rows, 51), strict=True)
     got = {r["doc_id"]: tuple(r)[1:] for r in Q.op3_suffix_dedup(spark, d).collect()}
-    assert got == {i: w for (i, _), w in zip(rows, want, strict=True)}
+    assert got == {i: (*x, *y) for (i, _), (x, y) in zip(rows, want, strict=True)}
+    assert any(r[5] and not r[1] for r in got.values())
