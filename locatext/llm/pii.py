@@ -420,8 +420,8 @@ def _said(spans: list[tuple[str, int, int]]) -> str:
 
 def find(docs: DataFrame, id_col: str = "doc_id", weights: Weights | None = None) -> DataFrame:
     """One row per row of ``docs``: the id, the number of base spans of each kind,
-    base_sha256, ``spans`` (all, as text) and ``found`` (array of kind, start, end,
-    text). A null text is empty (no spans); repeated rows are each answered; other
+    base_sha256, ``spans`` (all, as text), n_spans (their number) and ``found`` (array of
+    kind, start, end, text). A null text is empty (no spans); repeated rows are each answered; other
     columns are not read. Offsets are code points, ends exclusive."""
     shared = docs.sparkSession.sparkContext.broadcast(weights if weights is not None else train())
     src = bound_batches(docs).select(F.col(id_col).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -430,15 +430,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", weights: Weights | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for text in batch.column("text").to_pylist():
                 base, every = find_spans(text, w)
-                row = [*(sum(k == kind for k, _, _ in base) for kind in BASE), hashlib.sha256(_said(base).encode()).hexdigest(), _said(every), [{"kind": k, "start": s, "end": e, "text": text[s:e]} for k, s, e in every]]
+                row = [*(sum(k == kind for k, _, _ in base) for kind in BASE), hashlib.sha256(_said(base).encode()).hexdigest(), _said(every), len(every), [{"kind": k, "start": s, "end": e, "text": text[s:e]} for k, s, e in every]]
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [found_type]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["k", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found"])
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), found_type]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["k", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "found"])
 
     kind = src.schema["k"].dataType.simpleString()
-    out = src.mapInArrow(run, f"k {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long,text:string>>")
+    out = src.mapInArrow(run, f"k {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, found array<struct<kind:string,start:long,end:long,text:string>>")
     return out.withColumnRenamed("k", id_col)

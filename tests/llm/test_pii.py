@@ -7,6 +7,7 @@ import re
 import pytest
 
 from locatext.llm import pii
+from locatext.llm.queries import QUERIES
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -117,3 +118,26 @@ def test_values_that_are_not_runs_of_digits(before, value, after, kind):
 
 def test_a_word_that_announces_nothing():
     assert pii.find_spans("the token holder and the key person kept a secret meeting", pii.train())[1] == []
+
+
+def test_whole_table_against_the_patterns(spark):
+    """op1_pii on every document of sf0.001: base spans as the patterns say, and all of
+    them among the spans."""
+    d = "/root/testdata/sf0.001"
+    forms = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(re.sub("[ -]", "", m)) <= 19 and sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(re.sub("[ -]", "", m)[::-1])) % 10 == 0),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    ]
+    got = {r["doc_id"]: r for r in QUERIES["op1_pii"](spark, d).collect()}
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        base = [(k, *m.span()) for k, form, good in forms for m in re.finditer(form, r["text"] or "") if good(m[0])]
+        said = [f"{k}:{s}:{e}" for k, s, e in base]
+        out = got[r["doc_id"]]
+        assert [out[f"n_{k}"] for k, _, _ in forms] == [sum(b[0] == k for b in base) for k, _, _ in forms]
+        assert out["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest()
+        every = out["spans"].split(",") if out["spans"] else []
+        assert len(every) == out["n_spans"] and set(said) <= set(every)
