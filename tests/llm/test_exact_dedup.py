@@ -39,3 +39,27 @@ def test_directory_splits_only_overfull_buckets():
     leaves = exact_dedup.directory({0: 5, 1: 5, 2: 1, 15: 2}, 5, 4)
     assert leaves == [(4, 0), (4, 1), (3, 1), (2, 1), (1, 1)]
     assert exact_dedup.directory({}, 5, 4) == [(0, 0)]
+
+
+def test_buckets_split_until_they_fit_and_rows_read_their_own(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 500).alias("text"))
+    entries = docs.groupBy(F.xxhash64("text").alias("key"), "text").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).select("key", F.unhex(F.sha2("text", 256)).alias("sha"), "n", "keep_id")
+    index, levels, path = exact_dedup.build_index(entries, capacity=10, max_depth=3)
+    rows = index.collect()
+    sizes = {}
+    for r in rows:
+        sizes.setdefault(r["bucket"], set()).add(r["key"] & (1 << 64) - 1)
+    assert len(rows) == 500 and len(levels) > 1 and max(map(len, sizes.values())) <= 10
+    # A bucket is a range of keys: no other bucket's key lies within.
+    ranges = sorted((min(k), max(k)) for k in sizes.values())
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    # A row's bucket holds its entry, and its folder holds nothing else.
+    for r in exact_dedup.in_buckets(docs.limit(40).select(F.xxhash64("text").alias("key")), levels).collect():
+        folder = {x["key"] & (1 << 64) - 1 for x in spark.read.parquet(f"{path}/bucket={r['bucket']}").collect()}
+        assert folder == sizes[r["bucket"]] and r["key"] & (1 << 64) - 1 in folder
+
+
+def test_entries_with_many_rows_are_broadcast(spark):
+    rows = [(i, "HOT" if i % 3 else f"t{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in exact_dedup.mark(docs, hot_rows=5).collect()), key=str) == plain(rows)
