@@ -5,11 +5,14 @@ All pages of a host are merged into one style tree: a node is the chain of eleme
 how many presentations (sequences of child elements) and how many contents. The
 importance of a node joins two entropies over the host's pages, of presentation and of
 content: navigation, footers and notices repeat, articles differ. Branches of low
-importance go. Entropy alone cannot tell an advert (different on every page) from an
-article, nor say anything on a host of a few pages; so a node's meaning, where its
-element or class names one, stands first. Within a marked article the tree judges the
-branches over the host's distinct articles, so copies of one article are no template;
-and where unmarked branches of a page outweigh its marked ones, both are its text.
+importance go, and of the containers that stand side by side on a page those whose
+presentation hardly varies beside one that does (a footer is one line everywhere, an
+article has as many paragraphs as it needs). Entropy alone cannot tell an advert (different on every page) from an
+article, nor say anything on a host of a few pages; what is left after the tree is
+therefore judged by what its elements or classes name. Within a marked article the tree
+judges the branches over the host's distinct articles, so copies of one article are no
+template; and where unmarked branches of a page outweigh its marked ones, both are its
+text.
 
 The statistics are gathered per host with map-side partial counts; a hot host is one
 key of a combined aggregate, and its pages are never brought together."""
@@ -33,6 +36,9 @@ from locatext.llm.arrays import bound_batches
 MIN_PAGES = 8
 #: Importance (0 to 1) under which a branch goes.
 LOW_IMPORTANCE = 0.2
+#: Where the branches of a page part, a container goes whose presentation varies less
+#: than this share of the one that varies most, if that has this entropy at least.
+LOW_SHARE, MUCH_VARIETY = 0.5, 0.5
 
 # Elements of HTML by their role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,6 +48,7 @@ _BOILERPLATE = frozenset("head nav header footer aside form button select option
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option legend".split())
 _CLOSES_P = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend"}
 _MAIN = frozenset(("article", "main"))
+_CONTAINERS = frozenset("div section nav header footer aside form fieldset dialog center details menu ul ol".split())
 _NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|adbox|banner|promo(?:tion)?s?|sponsor(?:ed|s)?|sidebar|side|nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|copyright|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|reply|respond|discussion|widget|toolbar|skip|pagination|pager|tags|toc)(?:$|[\s_-])",
     re.I,
@@ -189,13 +196,13 @@ def _teaser(path: tuple[str, ...]) -> int:
 
 
 def _sightings(page: str) -> Iterator[tuple[int, int, int, int]]:
-    """(branch, presentation, content, what it is counted in) of the branches with a
-    block that no name removes: the page, or within a marked element the article."""
+    """(branch, presentation, content, what it is counted in) of all branches: the page,
+    or within a marked element the article."""
     found = blocks(page)
     left = [b for b in found if not b.named]
     seen, own = _branches(found), _digest(page)
     article = _digest(*("".join(b.raw) for b in left if b.main))
-    inside = {_branch(p): b.main and len(p) >= b.main for b in left for p in _prefixes(b.path)}
+    inside = {_branch(p): b.main and len(p) >= b.main for b in found for p in _prefixes(b.path)}
     for branch, marked in inside.items():
         yield branch, *seen[branch], article if marked else own
     for path in {b.path[: b.main] for b in left if b.main}:
@@ -221,9 +228,10 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """The merged trees of all hosts: host, branch, pages, contents, importance. Only
+    """The merged trees of all hosts: host, branch, pages, contents, importance and
+    presentation (that part of it). Only
     distinct pages of a host count (within a marked element, distinct articles), so
-    copies of one article are no template. Branches that names alone remove are left out.
+    copies of one article are no template.
     Importance is a weighted mean of the content's and the presentation's entropy,
     each over the log of the number of pages."""
     seen = pages.mapInArrow(_observe, "host string, branch long, shape long, content long, page long").distinct()
@@ -231,20 +239,44 @@ def style_tree(pages: DataFrame) -> DataFrame:
     by_shape = by_content.groupBy("host", "branch", "shape").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.count("*").alias("k"))
     nodes = by_shape.groupBy("host", "branch").agg(F.sum("s").alias("n"), F.sum("clogc").alias("clogc"), F.sum(F.col("s") * F.log("s")).alias("slogs"), F.sum("k").alias("contents"))
     entropy = lambda x: F.when(F.col("n") > 1, (F.log("n") - F.col(x) / F.col("n")) / F.log("n")).otherwise(F.lit(1.0))
-    return nodes.select("host", "branch", F.col("n").alias("pages"), "contents", ((entropy("clogc") * 3 + entropy("slogs")) / 4).alias("importance"))
+    return nodes.select("host", "branch", F.col("n").alias("pages"), "contents", ((entropy("clogc") * 3 + entropy("slogs")) / 4).alias("importance"), entropy("slogs").alias("presentation"))
 
 
 def judged_branches(tree: DataFrame) -> DataFrame:
     """Per host the branches that can be judged with their importance, as one array (as
     long as the host's style tree at most)."""
-    return tree.where(F.col("pages") >= MIN_PAGES).groupBy("host").agg(F.collect_list(F.struct("branch", "importance")).alias("judged"))
+    return tree.where(F.col("pages") >= MIN_PAGES).groupBy("host").agg(F.collect_list(F.struct("branch", "importance", "presentation")).alias("judged"))
 
 
-def main_text(page: str, low: frozenset[int], importance: Mapping[int, float] = MappingProxyType({})) -> str:
+def _parted(found: list[Block]) -> list[tuple[str, ...]]:
+    """For each block the branch in which it parts from the page's other blocks."""
+    whole = [_prefixes(b.path) for b in found]
+    shared = 0
+    while all(len(w) > shared for w in whole) and len({w[shared] for w in whole}) == 1:
+        shared += 1
+    return [w[min(shared, len(w) - 1)] if w else () for w in whole]
+
+
+def _uniform(found: list[Block], presentation: Mapping[int, float]) -> set[tuple[str, ...]]:
+    """The containers whose presentation hardly varies beside one that does."""
+    variety = {p: presentation.get(_branch(p), 1.0) for p in set(_parted(found)) if p}
+    judged = [v for p, v in variety.items() if _branch(p) in presentation]
+    best = max(judged, default=0.0)
+    return {p for p, v in variety.items() if best >= MUCH_VARIETY and v < LOW_SHARE * best and p[-1].split(".")[0] in _CONTAINERS}
+
+
+def main_text(page: str, low: frozenset[int], importance: Mapping[int, float] = MappingProxyType({}), presentation: Mapping[int, float] = MappingProxyType({})) -> str:
     """The article of one page, without the branches in ``low``."""
-    found = [b for b in blocks(page) if not b.named]
+    found = blocks(page)
+    if presentation:
+        gone = _uniform(found, presentation)
+        # A marked element is no template for being presented alike.
+        found = [b for b, p in zip(found, _parted(found), strict=True) if p not in gone or b.main]
     if low:
         found = [b for b in found if not any(_branch(p) in low for p in _prefixes(b.path) if len(p) >= b.main)]
+    # What differs from page to page and is yet no article (adverts, comments), and hosts
+    # of a few pages, are left to names.
+    found = [b for b in found if not b.named]
     marked = [b for b in found if b.main]
     if marked and len(marked) < len(found):
         # Unmarked text counts as far as the tree has seen its branch differ.
@@ -267,14 +299,14 @@ def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     kind = src.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: tuple[list | None, frozenset[int], dict[int, float]] = (None, frozenset(), {})
+        memo: tuple[list | None, frozenset[int], dict[int, float], dict[int, float]] = (None, frozenset(), {}, {})
         for batch in batches:
             texts = []
             for page, branches in zip(batch.column("html").to_pylist(), batch.column("judged").to_pylist(), strict=True):
                 if branches != memo[0]:
                     importance = {x["branch"]: x["importance"] for x in branches or ()}
-                    memo = (branches, frozenset(b for b, x in importance.items() if x < LOW_IMPORTANCE), importance)
-                texts.append(main_text(page, memo[1], memo[2]))
+                    memo = (branches, frozenset(b for b, x in importance.items() if x < LOW_IMPORTANCE), importance, {x["branch"]: x["presentation"] for x in branches or ()})
+                texts.append(main_text(page, *memo[1:]))
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["k", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"k {kind}, url string, text string, n_chars long").withColumnRenamed("k", id_col)

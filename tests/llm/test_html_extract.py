@@ -100,3 +100,31 @@ def test_copies_of_one_article_among_others_are_no_template(spark):
 def test_a_teaser_does_not_hide_the_main_text(spark, teaser):
     got = _extract(spark, [f"<article>{teaser.format(i)}</article><div class=r><p>a long text of page {i} {'w' * i}</p></div>" for i in range(20)])
     assert all(f"a long text of page {i}" in got[i] and ("offer" in got[i]) == ("{" in teaser) for i in got)
+
+
+def test_the_tree_alone_finds_the_articles_of_real_hosts(spark):
+    """Pages whose elements and classes name nothing: on every host that can be judged
+    the tree gives the text that the marked pages give."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()
+    many = {h for h, n in Counter(H.host_of(r["url"]) for r in pages).items() if n >= 30}
+    mine = [r for r in pages if H.host_of(r["url"]) in many]
+    names = {"nav": "k1", "article": "k2", "footer": "k3", "ad": "k4"}
+
+    def bare(page):
+        page = re.sub(r'<div class="ad">', '<div class="k4">', page)
+        page = re.sub(r"<(nav|article|footer)>", lambda m: f'<div class="{names[m[1]]}">', page)
+        return re.sub(r"</(?:nav|article|footer)>", "</div>", page)
+
+    frame = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract(frame([(r["page_id"], r["url"], bare(r["html"])) for r in mine])).collect()}
+    want = {r["page_id"]: H.main_text(r["html"], NONE) for r in mine}
+    assert len(mine) > 500 and sum(got[k] == want[k] for k in want) / len(want) > 0.95
+    assert all(H.main_text(bare(r["html"]), NONE) != want[r["page_id"]] for r in mine)
+
+
+def test_long_and_repeated_pages(spark):
+    page = "<article>" + "".join(f"<p>paragraph {i} &amp; more</p>" for i in range(20000)) + "</article>"
+    rows = [(1, "http://a.b/c", page)] * 3 + [(2, None, page)]
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = "\n".join(f"paragraph {i} & more" for i in range(20000))
+    assert len(got) == 4 and {(r["text"], r["n_chars"]) for r in got} == {(want, len(want))}
