@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locatext.llm.arrays import bound_batches
+from locatext.session import written
 
 #: A branch is judged by entropy only on hosts with this many distinct pages that have it.
 MIN_PAGES = 8
@@ -40,6 +41,9 @@ LOW_IMPORTANCE = 0.2
 #: than this share of the one that varies most, if that has this entropy at least.
 LOW_SHARE, MUCH_VARIETY = 0.5, 0.5
 
+#: Branches (of 24 bytes) that are broadcast; a larger tree meets the pages by host.
+BROADCAST_BRANCHES = 1 << 18
+
 # Elements of HTML by their role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe noembed noframes xmp".split())
@@ -292,9 +296,11 @@ def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     each answered; other columns are not read."""
     src = bound_batches(pages).select(F.col(id_col).alias("k"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), r"^.*@", ""), r":[0-9]*$", ""))
-    judged = judged_branches(style_tree(src.select("url", "html")))
-    # Hosts with branches to judge are few rows; Spark broadcasts them below its own
-    # size threshold and otherwise shuffles, where adaptive execution splits a hot host.
+    judged = written(judged_branches(style_tree(src.select("url", "html"))), "style-tree")
+    # Pages are not dealt by host while the judged branches are few enough to broadcast;
+    # beyond, they are, and adaptive execution splits a hot host.
+    if (judged.agg(F.sum(F.size("judged"))).first()[0] or 0) <= BROADCAST_BRANCHES:
+        judged = F.broadcast(judged)
     joined = src.withColumn("host", host).join(judged, "host", "left").select("k", "url", "html", "judged")
     kind = src.schema["k"].dataType.simpleString()
 

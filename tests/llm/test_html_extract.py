@@ -128,3 +128,10 @@ def test_long_and_repeated_pages(spark):
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     want = "\n".join(f"paragraph {i} & more" for i in range(20000))
     assert len(got) == 4 and {(r["text"], r["n_chars"]) for r in got} == {(want, len(want))}
+
+
+def test_a_large_tree_meets_the_pages_by_host(spark, monkeypatch):
+    rows = spark.createDataFrame(_site(20), "page_id long, url string, html string")
+    few = sorted(map(tuple, H.extract(rows).collect()))
+    monkeypatch.setattr(H, "BROADCAST_BRANCHES", -1)
+    assert sorted(map(tuple, H.extract(rows).collect())) == few
