@@ -26,11 +26,11 @@ s AS (SELECT evidence_id, doc_id, ord, family, file_name, raw_text, count(*) AS
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evidence(spark, sf_dir).withColumn("evidence_id", F.concat_ws(":", "doc_id", "ord"))
+    found = S.term_counts(rows, "raw_text", TERMS)
+    points = sum((F.when(F.col("tf")[i] > 0, S.concept_points(F.lit(t), F.lit(True), F.col("tf")[i])).otherwise(0) for i, t in enumerate(TERMS)), F.lit(0))
+    out = found.withColumns({"hits": F.size(F.filter("tf", lambda x: x > 0)).cast("long"), "points": points})
     keys = ["evidence_id", "doc_id", "ord", "family", "file_name", "raw_text"]
-    hits = S.postings(rows, keys, "raw_text", TERMS)
-    points = S.concept_points(F.col("term"), F.lit(True), F.col("tf"))
-    out = hits.groupBy(*keys).agg(F.count("*").alias("hits"), F.sum(points).alias("points"))
-    return out.withColumn("score", (F.col("points") + S.coverage_bonus(F.col("hits"), len(TERMS))).cast("long")).drop("points")
+    return out.select(*keys, "hits", (F.col("points") + S.coverage_bonus(F.col("hits"), len(TERMS))).cast("long").alias("score"))
 
 
 _ORDER = [F.desc, "score"], [F.desc, "hits"], [F.asc, "evidence_id"]
@@ -43,7 +43,9 @@ def order():
 @query(f"{HITS_SQL}, d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, raw_text ORDER BY score DESC, hits DESC, evidence_id) AS c FROM s) SELECT evidence_id, file_name, hits, score FROM d WHERE c = 1 ORDER BY score DESC, hits DESC, evidence_id LIMIT 8")
 def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the eight best evidence rows for one question."""
-    best = S.first_per_content(scored(spark, sf_dir), ["doc_id", "raw_text"], order())
+    rows = scored(spark, sf_dir)
+    # Rows of equal content score alike: the least id is the best of them.
+    best = rows.groupBy("doc_id", F.sha2("raw_text", 256).alias("content"), "file_name", "hits", "score").agg(F.min("evidence_id").alias("evidence_id"))
     return S.rank_rows(best).limit(LIMITS["results"]).select("evidence_id", "file_name", "hits", "score")
 
 

@@ -24,6 +24,20 @@ def test_bm25_against_sqlite_full_text_search(spark):
     assert set(got) == set(want) and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in got)
 
 
+def test_weighted_columns_and_phrases_against_sqlite(spark):
+    rnd = random.Random(4)
+    words = "pump valve seal rotor shaft gauge".split()
+    said = lambda n: " ".join(rnd.choice(words) for _ in range(rnd.randrange(n)))
+    rows = [(i, said(12), said(4), said(3)) for i in range(80)]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(a, b, c)")
+    db.executemany("INSERT INTO t(rowid, a, b, c) VALUES (?, ?, ?, ?)", rows)
+    want = dict(db.execute("""SELECT rowid, bm25(t, 2, 1.5, 1) FROM t WHERE t MATCH '"seal rotor" OR "gauge" OR "pump valve seal"'"""))
+    df = spark.createDataFrame(rows, "id long, a string, b string, c string")
+    got = {r["id"]: r["score"] for r in search.bm25_columns(df, ["id"], {"a": 2, "b": 1.5, "c": 1}, ["seal rotor", "gauge", "pump valve seal"]).collect()}
+    assert set(got) == set(want) and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in got)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_packers_keep_their_budgets(spark, seed):
     rnd = random.Random(seed)
