@@ -41,18 +41,19 @@ def _per_page(words: DataFrame, f: Callable[[str, list[dict]], list[tuple]], sch
 
 
 def lines_of(words: list[dict]) -> list[list[dict]]:
-    """Words by vertical middle; a word joins the nearest line if the line's running mean
-    is within max(2, min(5, 0.45 height))."""
-    out: list[dict] = []
-    for w in sorted(words, key=lambda w: (w["y0"] + w["y1"], w["x0"], w["text"])):
-        mid, tolerance = (w["y0"] + w["y1"]) / 2, max(2.0, min(5.0, 0.45 * (w["y1"] - w["y0"])))
-        best = min(out[-3:], key=lambda line: abs(line["mean"] - mid), default=None)
-        if best is not None and abs(best["mean"] - mid) <= tolerance:
-            best["words"].append(w)
-            best["mean"] += (mid - best["mean"]) / len(best["words"])
+    """Words from the top down; a word joins the line before it if its top is within
+    max(2, min(5, 0.45 height)) of the mean of that line's tops."""
+    out: list[list[dict]] = []
+    total = 0.0
+    for w in sorted(words, key=lambda w: (w["y0"], w["x0"])):
+        tolerance = max(2.0, min(5.0, 0.45 * max(1.0, w["y1"] - w["y0"])))
+        if out and abs(w["y0"] - total / len(out[-1])) <= tolerance:
+            out[-1].append(w)
+            total += w["y0"]
         else:
-            out.append({"mean": mid, "words": [w]})
-    return [sorted(line["words"], key=lambda w: w["x0"]) for line in sorted(out, key=lambda line: line["mean"])]
+            out.append([w])
+            total = w["y0"]
+    return [sorted(line, key=lambda w: w["x0"]) for line in out]
 
 
 def word_lines(words: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +12,12 @@ from locatext.session import written
 
 def ancestors(spark: SparkSession, edges: DataFrame, child: str = "child", parent: str = "parent", levels: int = 1000) -> DataFrame:
     """(node, ancestor, depth) of a tree given as child and parent, by a recursive query."""
-    edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).createOrReplaceTempView("locatext_edges")
+    view = f"locatext_edges_{uuid.uuid4().hex}"
+    edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).createOrReplaceTempView(view)
     return spark.sql(f"""
         WITH RECURSIVE up(node, ancestor, depth) MAX RECURSION LEVEL {levels} AS (
-          SELECT child, parent, 1 FROM locatext_edges
-          UNION ALL SELECT node, parent, depth + 1 FROM up JOIN locatext_edges ON up.ancestor = child)
+          SELECT child, parent, 1 FROM {view}
+          UNION ALL SELECT node, parent, depth + 1 FROM up JOIN {view} ON up.ancestor = child)
         SELECT * FROM up""")
 
 

@@ -33,14 +33,11 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.count_if(F.col("before").isNull() | (F.col("ts") - F.col("before") > F.expr("INTERVAL 12 HOUR"))).alias("sessions"))
 
 
-@query()
+@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts through Structured Streaming with a watermark."""
-    import uuid
-
-    stream = E.windowed_counts(E.read_events(spark, f"{sf_dir}/events.parquet"))
-    out = E.run_to_memory(stream, f"locatext_stream_{uuid.uuid4().hex}")
-    return out.select(F.col("window.start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    out = E.run_to_files(E.windowed_counts(E.read_events(spark, f"{sf_dir}/events.parquet")))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT label, count(*) AS n, round(avg(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS mean_square FROM embeddings GROUP BY label")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from locatext.functions import lexing as L
 from locatext.functions.vocab import STOP_WORDS
+from locatext.operators import fields as R
 from locatext.operators import resolution as X
 from locatext.operators import search as S
 
@@ -49,9 +50,23 @@ INTENTS: list[tuple[str, str, str | None]] = [
     ("status", rf"(?:what is the status of|is) {_ITEM}(?: open| closed| approved| rejected)?", "status"),
     ("field", rf"what is the ([a-z][a-z ]{{1,40}}) (?:of|for) {_ITEM}", None),
 ]
-#: Recognised, but without a plan: reply chains, attachments, relations and references
-#: are not in the evidence that ``ask`` reads.
-UNSUPPORTED = frozenset(("email_thread", "attachments", "cross_relations", "drawing_references", "clause_references"))
+#: Recognised, but without a plan: reply chains and attachments are not in the evidence
+#: that ``ask`` reads (``plans.mails`` answers them over whole messages).
+UNSUPPORTED = frozenset(("email_thread", "attachments"))
+#: Intents answered by reading identifiers out of the item's rows.
+READERS = {
+    "cross_relations": lambda text: R.workflow_items(F.array_join(R.labelled(r"related\s+(?:rfis?|submittals?)", 1000)(text), "\n")),
+    "drawing_references": R.drawings,
+    "clause_references": R.clauses,
+    "spec_section": R.sections,
+}
+#: Labels (patterns) under which forms give what a question asks for by other words.
+LABELS = {
+    "cost": r"cost\s+impact", "schedule": r"schedule\s+impact", "responsible for": r"responsible(?:\s+party)?", "assigned to": r"assigned\s+to|assignee",
+    "the author of": r"submitted\s+by|submitter", "the reviewer of": r"reviewed\s+by|reviewer", "action required": r"action\s+required|required\s+action",
+    "due": r"(?:response\s+)?due(?:\s+date)?", "issued": r"issue\s+date|date\s+issued|issued", "submitted": r"submission\s+date|date\s+submitted", "received": r"receipt\s+date|date\s+received",
+    "sent": r"sent\s+date|date\s+sent", "reviewed": r"review\s+date|date\s+reviewed", "approved": r"approval\s+date|date\s+approved", "answered": r"response\s+date|date\s+answered",
+}
 _COMPILED = [(name, re.compile(rf"\s*{pattern}\s*[?.]?\s*", re.I), label) for name, pattern, label in INTENTS]
 
 
@@ -95,8 +110,9 @@ def read_field(rows: DataFrame, request: Request, cap: int = 32) -> DataFrame:
 
 def _read_label(rows: DataFrame, request: Request, cap: int) -> DataFrame:
     label = request.argument or "status"
-    mine = rows.where(F.lower("raw_text").contains(label))
-    value = F.regexp_extract("raw_text", f"(?im)^[ \\t]*{re.escape(label)}[ \\t]*:[ \\t]*(.+?)[ \\t]*$", 1)
+    pattern = LABELS.get(label) or re.escape(label)
+    mine = rows.where(F.col("raw_text").rlike(f"(?i){pattern}"))
+    value = F.regexp_extract("raw_text", f"(?im)^[ \\t]*(?:{pattern})[ \\t]*:[ \\t]*(.+?)[ \\t]*$", 1)
     found = mine.select("evidence_id", value.alias("value")).agg(F.count("*").alias("rows"), F.array_sort(F.collect_set(F.when(F.col("value") != "", F.col("value")))).alias("values"), F.array_sort(F.collect_set(F.when(F.col("value") != "", F.col("evidence_id")))).alias("cited"))
     return found.select(F.lit(request.intent).alias("intent"), F.when(F.col("rows") > cap, "REFUSED").otherwise(X.agree(F.col("values"))).alias("outcome"), "values", "cited")
 
@@ -154,6 +170,12 @@ def ask(rows: DataFrame, question: str) -> DataFrame:
     if request.intent in UNSUPPORTED:
         none = F.array().cast("array<string>")
         return rows.sparkSession.range(1).select(F.lit(request.intent).alias("intent"), F.lit("UNSUPPORTED").alias("outcome"), none.alias("values"), none.alias("cited"))
+    if request.intent in READERS:
+        mine = rows.where((F.col("workflow") == request.workflow) & (F.col("identifier") == request.identifier))
+        found = mine.select("evidence_id", F.explode(READERS[request.intent](F.col("raw_text"))).alias("value"))
+        if request.intent == "cross_relations":
+            found = found.where(~F.col("value").isin(f"{request.workflow}:{request.identifier}"))
+        return _listed(found, request.intent, "value", "evidence_id")
     if request.intent == "inventory_list":
         kind, item = _inventory(rows, request.workflow or (request.argument or "").upper())
         return _listed(kind, request.intent, item, "document_id")

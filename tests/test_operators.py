@@ -176,9 +176,9 @@ def test_sources_and_sinks(spark, tmp_path):
         ("What is the subject of email A1.eml?", "ANSWERED", ["Pipe size"]),
         ("Show the thread of a1.eml", "UNSUPPORTED", []),
         ("What are the attachments of a1.eml?", "UNSUPPORTED", []),
-        ("Which drawings does RFI 42 reference?", "UNSUPPORTED", []),
-        ("Which clauses does RFI 42 reference?", "UNSUPPORTED", []),
-        ("Which submittals are related to RFI 42?", "UNSUPPORTED", []),
+        ("Which drawings does RFI 42 reference?", "NONE", []),
+        ("Which clauses does RFI 42 reference?", "NONE", []),
+        ("Which submittals are related to RFI 42?", "NONE", []),
     ],
 )
 def test_questions_with_a_plan_or_none(spark, question, outcome, values):
@@ -186,3 +186,41 @@ def test_questions_with_a_plan_or_none(spark, question, outcome, values):
     rows = spark.createDataFrame(EVIDENCE + more, "evidence_id string, workflow string, identifier string, role string, document_id string, raw_text string")
     r = planner.ask(rows, question).first()
     assert (r["outcome"], r["values"]) == (outcome, values)
+
+
+@pytest.mark.parametrize(
+    "question,values",
+    [
+        ("Which drawings does RFI 77 reference?", ["A-1.2", "S9"]),
+        ("Which clauses does RFI 77 reference?", ["PARAGRAPH:2.1"]),
+        ("Which submittals are related to RFI 77?", ["SUBMITTAL:S-4"]),
+        ("Which spec section applies to RFI 77?", ["033000"]),
+        ("What is the cost impact of RFI 77?", ["5 USD"]),
+        ("Who is assigned to RFI 77?", ["Crew 2"]),
+        ("When is RFI 77 due?", ["2024-05-01"]),
+    ],
+)
+def test_questions_read_from_forms(spark, question, values):
+    text = "Cost Impact: 5 USD\nAssignee: Crew 2\nDue date: 2024-05-01\nSee sheet A-1.2 and dwg S9, para 2.1\nRelated Submittals: Submittal S-4\nSection 03 30 00"
+    rows = spark.createDataFrame([("e1", "RFI", "77", None, "d", text), ("e2", "RFI", "8", None, "d", "sheet Z9")], "evidence_id string, workflow string, identifier string, role string, document_id string, raw_text string")
+    r = planner.ask(rows, question).first()
+    assert (r["outcome"], r["values"], r["cited"]) == ("ANSWERED", values, ["e1"])
+
+
+def test_lines_of_words_by_the_running_mean_of_their_tops(spark):
+    rnd = random.Random(12)
+    words = [(f"p{p}", float(rnd.randrange(50)), float(rnd.randrange(60)) / 2, 0.0, 0.0, f"w{i}") for p in range(6) for i in range(rnd.randrange(25))]
+    words = [(p, x, y, x + 4, y + rnd.choice([0.5, 6.0, 14.0]), t) for p, x, y, _, _, t in words]
+    want = []
+    for page in sorted({w[0] for w in words}):
+        lines = []
+        for w in sorted((w for w in words if w[0] == page), key=lambda w: (w[2], w[1], w[5])):
+            if lines:
+                mean = sum(v[2] for v in lines[-1]) / len(lines[-1])
+                if abs(w[2] - mean) <= max(2.0, min(5.0, max(1.0, w[4] - w[2]) * 0.45)):
+                    lines[-1].append(w)
+                    continue
+            lines.append([w])
+        want += [(page, i, " ".join(v[5] for v in sorted(line, key=lambda v: v[1]))) for i, line in enumerate(lines, 1)]
+    df = spark.createDataFrame(words, "page string, x0 double, y0 double, x1 double, y1 double, text string")
+    assert sorted((r["page"], r["line"], r["text"]) for r in geometry.word_lines(df).collect()) == sorted(want)
