@@ -35,17 +35,19 @@ class Unreadable(ValueError):
 def _read(rendered: str, at: int, stop: str) -> tuple[str, int]:
     """Unescaped content from ``at`` up to the first unescaped ``stop``, and the end."""
     out, n = [], len(rendered)
-    while True:
-        end, back = rendered.find(stop, at), rendered.find("\\", at)
-        if end < 0:
-            raise Unreadable(f"no {stop!r}")
-        if back < 0 or back > end:
+    end = rendered.find(stop, at)
+    while end >= 0:
+        back = rendered.find("\\", at, end)
+        if back < 0:
             out.append(rendered[at:end])
             return "".join(out), end + len(stop)
         if back + 1 >= n:
             raise Unreadable("nothing after a backslash")
         out += [rendered[at:back], rendered[back + 1]]
         at = back + 2
+        if at > end:  # that stop was escaped
+            end = rendered.find(stop, at)
+    raise Unreadable(f"no {stop!r}")
 
 
 def parse_turn(rendered: str, at: int = 0) -> tuple[str, str, int, int, int]:

@@ -114,6 +114,7 @@ _SECRET = _CUES["secret"].split()
 #: The word after one that announces a secret, whatever it is made of.
 _TOLD = re.compile(rf"(?<![^\W_])(?:{'|'.join(_SECRET)})(?![^\W_])(?=[\"']?\s{{0,3}}(?:[:=]|is\b|was\b)?\s{{0,3}}[\"']?([^\s\"',;:=]{{6,512}}))", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+_GROUP = re.compile(r"\S+")
 
 
 def _features(text: str, start: int, end: int, left: str) -> list[str]:
@@ -145,11 +146,17 @@ def _features(text: str, start: int, end: int, left: str) -> list[str]:
 
 
 def _candidates(text: str) -> list[tuple[int, int]]:
-    """Spans that any form gives over the whole text, without and with what ends them."""
+    """Spans that any form gives over the whole text, without and with what ends them, and
+    every run of the groups (between white space) inside one: which of them is a segment,
+    and where it begins and ends, is for the dynamic program to choose."""
     at, digit, low = "@" in text, re.search("[0-9]", text), text.lower()
     found = {m.span() for i, form in enumerate(_FORMS) if (at if i < 2 else digit) for m in form.finditer(text)}
     if any(w in low for w in _SECRET):
         found.update(m.span(1) for m in _TOLD.finditer(text))
+    for s, e in list(found):
+        groups = [m.span() for m in _GROUP.finditer(text, s, e)]
+        if 1 < len(groups) <= MAX_TOKENS and not _IBAN.fullmatch(text, s, e):
+            found.update((a, b) for i, (a, _) in enumerate(groups) for _, b in groups[i:])
     for s, e in list(found):
         if not text[e - 1].isalnum():
             found.add((s, e - 1))

@@ -13,6 +13,7 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locatext.llm.arrays import bound_batches
+from locatext.llm.arrays import BATCH_BYTES, bound_batches
 
 _SPACE_NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs (RFC 4122)
 RECORD = "record_id string, record_type string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, source_headers string, block binary"
@@ -62,29 +63,39 @@ def serialise(r: dict) -> bytes:
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or gzipped (one member per record or one for all)."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
+    """Records of a WARC file, plain or gzipped (one member per record or one for all),
+    one after the other: only the record at hand is unpacked."""
+    raw = io.BytesIO(data)
+    file = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data[:2] == b"\x1f\x8b" else raw
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):
+            continue
         fields = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
+        while (line := file.readline()) not in (b"\r\n", b"\n", b""):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
         size = int(fields.get("content-length") or 0)
-        block = data[end + 4 : end + 4 + size]
+        block = file.read(size)
         yield {"record_id": fields.get("warc-record-id"), "record_type": fields.get("warc-type"), "refers_to": fields.get("warc-refers-to"), "target_uri": fields.get("warc-target-uri"), "warc_date": fields.get("warc-date"), "content_type": fields.get("content-type"), "payload_digest": fields.get("warc-payload-digest"), "block_digest": fields.get("warc-block-digest") or digest(block), "source_headers": None, "block": block}
-        at = end + 4 + size
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files; Spark lists and opens the files, so any store works."""
+    """Records of WARC files; Spark lists and opens the files, so any store works. A file
+    is one row of Spark's binary source (2 GB at most; crawls write files of 1 GB), and
+    its records leave in batches of about ``BATCH_BYTES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content"):
-                yield from pa.Table.from_pylist(list(parse_records(data.as_py())), _RECORD_ARROW).to_batches(max_chunksize=500)
+                held: list[dict] = []
+                size = 0
+                for record in parse_records(data.as_py()):
+                    held.append(record)
+                    size += len(record["block"])
+                    if size > BATCH_BYTES:
+                        yield from pa.Table.from_pylist(held, _RECORD_ARROW).to_batches()
+                        held, size = [], 0
+                yield from pa.Table.from_pylist(held, _RECORD_ARROW).to_batches()
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 

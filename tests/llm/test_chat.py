@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,3 +46,15 @@ def test_whole_table_against_a_plain_loop(spark):
     for k, turns in plain.items():
         assert got[k]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert got[k]["loss_sha256"] == hashlib.sha256("".join(t for r, t in turns if r == "assistant").encode()).hexdigest()
+        # Without escapes a turn is its frame of 19 characters, role and text.
+        size = sum(len("<turn>\n### :\n\n</turn>\n") + len(r) + len(t) for r, t in turns)
+        assert got[k]["loss_chars"] == sum(len(t) for r, t in turns if r == "assistant")
+        controls = sum(len(re.findall(r"\\\\|</turn>|<turn>|### ", t)) for _, t in turns)
+        assert size <= got[k]["formatted_chars"] <= size + controls and (controls or got[k]["formatted_chars"] == size)
+
+
+def test_a_very_long_turn(spark):
+    text = "### </turn> \\ ok é\n" * 200_000
+    df = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = chat.format_conversations(df, keep_text=True).first()
+    assert r["loss_chars"] == len(text) and chat.parse(r["formatted"]) == [("assistant", text)]

@@ -85,3 +85,11 @@ def test_query_against_brute_force(spark):
         r = runs(t)
         want |= brute([(x, t)], [(i, b) for i, b, s in of_item if s & r])
     assert {tuple(r)[:4] for r in Q.op9_decontaminate(spark, d).collect()} == want
+
+
+def test_repeated_documents_items_and_a_very_long_text(spark):
+    item = "the quick brown fox jumps over the lazy dog again"
+    docs = [(1, item), (1, item), (2, None), (3, "!!!"), (4, "x " * 300_000 + item + " y" * 300_000)]
+    leaks = D.find_leaks(spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, item_id int"), spark.createDataFrame([(9, item), (9, item), (8, None)], "item_id long, text string"))
+    got = sorted((r["doc_id"], r["item_id"], r["covered_words"]) for r in leaks.collect())
+    assert got == [(1, 9, 10)] * 4 + [(4, 9, 10)] * 2

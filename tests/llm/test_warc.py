@@ -1,5 +1,8 @@
 import base64
+import gzip
 import hashlib
+import html
+import re
 
 from pyspark.sql import functions as F
 
@@ -43,6 +46,36 @@ def test_files_round_trip(spark, tmp_path):
     assert {r["record_id"] for r in again.collect()} == {r["record_id"] for r in rows if r["record_type"] != "response"}
 
 
+def test_gzipped_and_long_records(spark, tmp_path):
+    long = "<p>" + "word &amp; " * 400_000 + "</p>"
+    pages = spark.createDataFrame([(i, f"http://a/{i}", long if i == 1 else "") for i in range(4)] + [(0, "http://a/0", "")], "page_id long, url string, html string")
+    rows = warc.with_bytes(warc.responses(pages)).collect()
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(bytes(r["warc"]) for r in rows)))
+    (tmp_path / "each.warc.gz").write_bytes(b"".join(gzip.compress(bytes(r["warc"])) for r in rows))
+    back = warc.read_warc(spark, str(tmp_path))
+    assert back.count() == 2 * len(rows) == 10
+    text = {bytes(r["block"]) for r in warc.derive(back).where("record_type = 'conversion' AND target_uri = 'http://a/1'").collect()}
+    assert text == {("word & " * 400_000).strip().encode()}
+
+
+def test_whole_table_against_plain_records(spark):
+    """op4_warc on every page of sf0.001: both records of each, byte for byte."""
+    d = "/root/testdata/sf0.001"
+    got = {(r["refers_to"], r["record_type"]): r for r in Q.op4_warc(spark, d).collect()}
+    pages = spark.read.parquet(f"{d}/pages.parquet").collect()
+    assert len(got) == 2 * len(pages)
+    for r in pages:
+        source = warc.record_id("response", str(r["page_id"]), r["url"])
+        payload = (r["html"] or "").encode()
+        text, about = got[source, "conversion"], got[source, "metadata"]
+        lines = [" ".join(x.split()) for x in html.unescape(re.sub(r"<[/!?A-Za-z][^>]*>", "", re.sub(r"<(?:br|/?(?:p|div|li|ul|h1|article|nav|footer))\b[^>]*>", "\n", re.sub(r"(?s)<!--.*?-->|<(script|style|head)\b.*?</\1>", "\n", r["html"])))).split("\n")]
+        assert text["block"] == "\n".join(x for x in lines if x)
+        assert text["payload_digest"] == about["payload_digest"] == sha1(payload) and text["target_uri"] == r["url"]
+        fields = dict(x.split(": ", 1) for x in about["block"].split("\r\n") if x)
+        assert fields["payload-bytes"] == str(len(payload)) and fields["text-digest"] == text["block_digest"] == sha1(text["block"].encode())
+        assert fields["source-header-0"] == "HTTP/1.1 200 OK" and f"Content-Length: {len(payload)}" in text["source_headers"]
+
+
 def test_query_covers_every_page(spark):
     d = "/root/testdata/sf0.001"
     out = Q.op4_warc(spark, d)
