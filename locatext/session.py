@@ -73,7 +73,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     so a lost executor costs a re-read and not the whole plan."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.mode("append").parquet(path)
+    # Zstandard keeps no direct buffers between tasks, as Snappy does until a full collection.
+    df.write.mode("append").option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.scratch = path
     return back
