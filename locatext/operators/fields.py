@@ -222,16 +222,24 @@ _NUMBER = r"(?<![\w.])\d{1,3}(?:,\d{3})+(?:\.\d+)?(?!\w)|(?<![\w.])\d+(?:\.\d+)?
 def _spans(text: Column, pattern: str, name: str) -> Column:
     """(name, value, start, end) of all matches: the text is cut at them, and lengths of
     the parts add up to places."""
-    found = F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(0))
-    between = F.split(text, f"(?i){pattern}")
-    empty = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<name:string,value:string,s:int,e:int>>)").alias("out"))
+    kind = "array<struct<name:string,value:string,s:int,e:int>>"
+    cut = F.struct(F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(0)).alias("found"), F.split(text, f"(?i){pattern}").alias("between"))
 
-    def step(acc: Column, i: Column) -> Column:
-        s = acc["at"] + F.length(F.get(between, i))
-        e = s + F.length(F.get(found, i))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(name).alias("name"), F.get(found, i).alias("value"), s.alias("s"), e.alias("e")))).alias("out"))
+    def spans(z: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            s = acc["at"] + F.length(F.get(z["between"], i))
+            e = s + F.length(F.get(z["found"], i))
+            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(name).alias("name"), F.get(z["found"], i).alias("value"), s.alias("s"), e.alias("e")))).alias("out"))
 
-    return F.when(F.size(found) == 0, F.expr("CAST(array() AS array<struct<name:string,value:string,s:int,e:int>>)")).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), empty, step)["out"])
+        start = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS {kind})").alias("out"))
+        return F.when(F.size(z["found"]) == 0, F.expr(f"CAST(array() AS {kind})")).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(z["found"]) - 1), start, step)["out"])
+
+    return _once(cut, spans)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), lambda z: use(z))[0]
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -247,17 +255,29 @@ def measured(text: Column, reserved: Column | None = None, reach: int = 64) -> C
         numbers = F.filter(numbers, lambda n: ~F.exists(reserved, lambda r: (r["s"] <= n["s"]) & (n["e"] <= r["e"])))
     labels = F.flatten(F.array(*[_spans(text, p, role) for role, p in PROPERTIES.items()]))
 
-    def pair(n: Column) -> Column:
-        near = F.array_sort(F.filter(F.transform(labels, lambda x: F.struct(distance(n, x).alias("d"), x["name"].alias("role"), x["s"].alias("s"), x["e"].alias("e"))), lambda x: x["d"] <= reach))
-        best = F.get(near, F.lit(0))
-        tied = F.exists(near, lambda x: (x["d"] == best["d"]) & (x["role"] != best["role"]))
-        back = F.array_min(F.transform(numbers, lambda m: distance(m, best)))
-        after = text.substr(n["e"] + 1, F.lit(24))
-        unit = None
-        for name, p in UNITS.items():
-            hit = after.rlike(rf"(?i)^\s*-?\s*(?:{p})(?=$|[\s,.;:)\]])")
-            unit = F.when(hit, name) if unit is None else unit.when(hit, name)
-        good = (F.size(near) > 0) & ~tied & (back == best["d"])
-        return F.when(good, F.struct(best["role"].alias("role"), F.regexp_replace(n["value"], ",", "").alias("value"), unit.alias("unit")))
-
-    return F.filter(F.transform(numbers, pair), lambda x: x.isNotNull())
+    def unit_after(end: Column) -> Column:
+        def named(after: Column) -> Column:
+            unit = None
+            for name, p in UNITS.items():
+                hit = after.rlike(rf"(?i)^\s*-?\s*(?:{p})(?=$|[\s,.;:)\]])")
+                unit = F.when(hit, name) if unit is None else unit.when(hit, name)
+            return unit
+
+        return _once(text.substr(end + 1, F.lit(24)), named)
+
+    def pairs(z: Column) -> Column:
+        def pair(n: Column) -> Column:
+            near = F.array_sort(F.filter(F.transform(z["labels"], lambda x: F.struct(distance(n, x).alias("d"), x["name"].alias("role"), x["s"].alias("s"), x["e"].alias("e"))), lambda x: x["d"] <= reach))
+
+            def choose(found: Column) -> Column:
+                best = F.get(found, F.lit(0))
+                tied = F.exists(found, lambda x: (x["d"] == best["d"]) & (x["role"] != best["role"]))
+                back = F.array_min(F.transform(z["numbers"], lambda m: distance(m, best)))
+                good = (F.size(found) > 0) & ~tied & (back == best["d"])
+                return F.when(good, F.struct(best["role"].alias("role"), F.regexp_replace(n["value"], ",", "").alias("value"), unit_after(n["e"]).alias("unit")))
+
+            return _once(near, choose)
+
+        return F.filter(F.transform(z["numbers"], pair), lambda x: x.isNotNull())
+
+    return _once(F.struct(numbers.alias("numbers"), labels.alias("labels")), pairs)
