@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +9,25 @@ from locatext.session import written
 
 
 def ancestors(spark: SparkSession, edges: DataFrame, child: str = "child", parent: str = "parent", levels: int = 1000) -> DataFrame:
-    """(node, ancestor, depth) of a tree given as child and parent, by a recursive query."""
-    view = f"locatext_edges_{uuid.uuid4().hex}"
-    edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE up(node, ancestor, depth) MAX RECURSION LEVEL {levels} AS (
-          SELECT child, parent, 1 FROM {view}
-          UNION ALL SELECT node, parent, depth + 1 FROM up JOIN {view} ON up.ancestor = child)
-        SELECT * FROM up""")
+    """(node, ancestor, depth) of a tree given as child and parent: a row for every way up.
+    Only edges whose child is a parent too lead further. Their ways are written to the
+    shared folder and doubled in length until none is longer; every edge then meets them
+    in one join. Ways of more than ``levels`` edges (a cycle) are an error."""
+    e = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth"))
+    inner = e.join(e.select(F.col("ancestor").alias("node")).distinct(), "node", "left_semi")
+    ways = last = written(inner, "graph-ways")
+
+    def onward(df: DataFrame) -> DataFrame:
+        up = ways.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("top"), F.col("depth").alias("more"))
+        return df.join(up, "ancestor").select("node", F.col("top").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+
+    length = 1
+    while not last.where(F.col("depth") == length).isEmpty():
+        if length >= levels:
+            raise RuntimeError(f"ways of over {levels} edges: a cycle?")
+        last = written(onward(last.where(F.col("depth") == length)), "graph-ways")
+        ways, length = ways.unionByName(last), length * 2
+    return e.unionByName(onward(e))
 
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
