@@ -122,21 +122,27 @@ def classify(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with document_type, workflow_type, identifier, role and status. A subject
     line that names an item beats the headers of the body; of those the first wins. The
     role is MIXED where a form both asks and answers; nothing known is UNKNOWN."""
-    t = _dashes(F.col(text))
     kinds = {"RFI": "RFI|REQUEST FOR INFORMATION", "SUBMITTAL": "SUBMITTAL|SUBMISSION"}
-    in_subject = {k: F.nullif(F.regexp_extract(t, rf"(?imd)^[ \t]*subject[ \t]*:[ \t]*(?:(?:re|fwd?)[ \t]*:[ \t]*)*(?:{p})(?:[ \t]+(?:no\.?|number))?[ \t]*[#:.-]*[ \t]*([A-Z0-9._/-]*[0-9][A-Z0-9._/-]*)", 1), F.lit("")) for k, p in kinds.items()}
-    in_header = {k: F.nullif(F.regexp_extract(t, _header(p), 1), F.lit("")) for k, p in kinds.items()}
-    place = {k: F.nullif(F.regexp_instr(t, F.lit(_header(p))), F.lit(0)) for k, p in kinds.items()}
-    first = F.when(place["RFI"].isNotNull() & (place["SUBMITTAL"].isNull() | (place["RFI"] < place["SUBMITTAL"])), "RFI").when(place["SUBMITTAL"].isNotNull(), "SUBMITTAL")
-    kind = F.when(in_subject["RFI"].isNotNull(), "RFI").when(in_subject["SUBMITTAL"].isNotNull(), "SUBMITTAL").otherwise(first)
-    said = F.when(kind == "RFI", F.coalesce(in_subject["RFI"], in_header["RFI"])).otherwise(F.coalesce(in_subject["SUBMITTAL"], in_header["SUBMITTAL"]))
-    identifier = F.regexp_replace(F.regexp_replace(F.upper(said), "[._/-]+$", ""), "^0+(?=[0-9])", "")
+    t = F.col("__t")
+    in_subject = {f"__subject_{k}": F.nullif(F.regexp_extract(t, rf"(?imd)^[ \t]*subject[ \t]*:[ \t]*(?:(?:re|fwd?)[ \t]*:[ \t]*)*(?:{p})(?:[ \t]+(?:no\.?|number))?[ \t]*[#:.-]*[ \t]*([A-Z0-9._/-]*[0-9][A-Z0-9._/-]*)", 1), F.lit("")) for k, p in kinds.items()}
+    place = {f"__place_{k}": F.nullif(F.regexp_instr(t, F.lit(_header(p))), F.lit(0)) for k, p in kinds.items()}
+    # Columns of their own: within one expression every mention of a match would search the text again.
+    plain = F.when(F.col(text).rlike(f"[{vocab.DASHES}]"), _dashes(F.col(text))).otherwise(F.col(text))
+    read = docs.withColumn("__t", plain).withColumns(in_subject | place)
+    subject, at = ({k: F.col(f"__{name}_{k}") for k in kinds} for name in ("subject", "place"))
+    first = F.when(at["RFI"].isNotNull() & (at["SUBMITTAL"].isNull() | (at["RFI"] < at["SUBMITTAL"])), "RFI").when(at["SUBMITTAL"].isNotNull(), "SUBMITTAL")
+    typed = read.withColumn("workflow_type", F.when(subject["RFI"].isNotNull(), "RFI").when(subject["SUBMITTAL"].isNotNull(), "SUBMITTAL").otherwise(first))
+    kind = F.col("workflow_type")
+    said = {k: F.coalesce(subject[k], F.nullif(F.regexp_extract(t, _header(p), 1), F.lit(""))) for k, p in kinds.items()}
+    identifier = F.regexp_replace(F.regexp_replace(F.upper(F.when(kind == "RFI", said["RFI"]).otherwise(said["SUBMITTAL"])), "[._/-]+$", ""), "^0+(?=[0-9])", "")
     asks, answers = (t.rlike(rf"(?imd)^[ \t]*(?:{p})[ \t]*:") for p in ("question|request", "response|answer|reply"))
+    asked = typed.withColumns({"__asks": F.when(kind == "RFI", asks), "__answers": F.when(kind == "RFI", answers)})
+    asks, answers = F.col("__asks"), F.col("__answers")
     role = F.when(kind == "SUBMITTAL", "SUBMITTAL").when(kind == "RFI", F.when(asks & answers, "MIXED").when(answers, "RESPONSE").when(asks, "QUESTION").otherwise("UNKNOWN"))
     status = F.when(kind == "RFI", F.array_join(statuses(t, RFI_STATUS), " / ")).when(kind == "SUBMITTAL", F.array_join(statuses(t, SUBMITTAL_STATUS), " / "))
-    found = docs.withColumns({"workflow_type": kind, "identifier": F.when(kind.isNotNull(), identifier), "role": role, "status": F.nullif(status, F.lit(""))})
-    kind_of = F.when(F.col("workflow_type") == "SUBMITTAL", "SUBMITTAL").when(F.col("role").isin("RESPONSE", "MIXED"), "RFI_RESPONSE").when(F.col("role") == "QUESTION", "RFI_QUESTION").when(F.col("workflow_type").isNotNull(), "OTHER").otherwise("UNKNOWN")
-    return found.withColumn("document_type", kind_of)
+    found = asked.withColumns({"identifier": F.when(kind.isNotNull(), identifier), "role": role, "status": F.nullif(status, F.lit(""))})
+    kind_of = F.when(kind == "SUBMITTAL", "SUBMITTAL").when(F.col("role").isin("RESPONSE", "MIXED"), "RFI_RESPONSE").when(F.col("role") == "QUESTION", "RFI_QUESTION").when(kind.isNotNull(), "OTHER").otherwise("UNKNOWN")
+    return found.withColumn("document_type", kind_of).drop("__t", *in_subject, *place, "__asks", "__answers")
 
 
 def read_fields(docs: DataFrame, readers: Mapping[str, Reader], keys: list[str], text: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from locatext.operators import graphs
+from locatext.operators import fields, graphs
 
 
 def test_closure_beyond_the_row_limit_of_a_recursive_query(spark):
@@ -26,3 +26,19 @@ def test_closure_beyond_the_row_limit_of_a_recursive_query(spark):
 def test_closure_of_a_cycle_is_an_error(spark):
     with pytest.raises(RuntimeError):
         graphs.ancestors(spark, spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "child string, parent string"), levels=8).count()
+
+
+def test_the_classifier_searches_a_text_once_for_each_pattern(spark):
+    texts = ["RFI No. 007\nQuestion: a?", "Subject: re: submittal – S‑9\nStatus: approved", None, "", "none"]
+    df = fields.classify(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1 and plan.count("regexp_instr(") == 2 and plan.count("response|answer|reply") == 1
+    got = {r["id"]: (r["document_type"], r["workflow_type"], r["identifier"], r["role"], r["status"]) for r in df.collect()}
+    assert got == {0: ("RFI_QUESTION", "RFI", "7", "QUESTION", None), 1: ("SUBMITTAL", "SUBMITTAL", "S-9", "SUBMITTAL", "APPROVED")} | dict.fromkeys((2, 3, 4), ("UNKNOWN", None, None, None, None))
+    assert df.columns == ["id", "text", "workflow_type", "identifier", "role", "status", "document_type"]
+
+
+def test_orders_of_one_row_group_are_read_by_many_tasks(spark):
+    from locatext.plans import forms
+
+    assert forms.forms(spark, "/root/testdata/sf0.001", spread=True).rdd.getNumPartitions() > 1
