@@ -2,11 +2,24 @@
 
 import random
 
+import duckdb
 import pytest
 
+from locatext import catalog
 from locatext.operators import fields, graphs
 
 
+def same_as_sql(spark, tmp_path, name, table, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
+    got = [tuple(r) for r in df.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    return got
+
+
 def test_closure_beyond_the_row_limit_of_a_recursive_query(spark):
     rnd = random.Random(8)
     # Two parents here and there, a row twice, a node without a parent, a chain of 70.
@@ -42,3 +55,9 @@ def test_orders_of_one_row_group_are_read_by_many_tasks(spark):
     from locatext.plans import forms
 
     assert forms.forms(spark, "/root/testdata/sf0.001", spread=True).rdd.getNumPartitions() > 1
+
+
+def test_variants_of_keys_of_seven_digits_and_more(spark, tmp_path):
+    keys = [0, 7, 99999, 100000, 999999, 1000003, 8999999, 12345678901, 100000, 1000003, -5, -123456, None]
+    got = same_as_sql(spark, tmp_path, "rfi_variants", "orders", [(k,) for k in keys], "o_orderkey long")
+    assert len(got) == 9 and (1000003, "rfi 100000", "rfi 1000003") in [r[:3] for r in got]
