@@ -29,9 +29,11 @@ def split_history(rows: DataFrame, key: str, order: str, starts: Column, name: s
 
 
 def merge_intervals(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Islands of overlapping or touching intervals and their number of members."""
-    before = W.partitionBy(key).orderBy(start, end).rowsBetween(W.unboundedPreceding, -1)
-    upto = W.partitionBy(key).orderBy(start, end).rowsBetween(W.unboundedPreceding, 0)
+    """Islands of overlapping or touching intervals and their number of members. An interval
+    without a start is an island alone; one without an end comes last of its start."""
+    in_order = W.partitionBy(key).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
+    before = in_order.rowsBetween(W.unboundedPreceding, -1)
+    upto = in_order.rowsBetween(W.unboundedPreceding, 0)
     flagged = rows.withColumn("__new", F.coalesce((F.col(start) > F.max(end).over(before)).cast("int"), F.lit(1)))
     islands = flagged.withColumn("__no", F.sum("__new").over(upto))
     return islands.groupBy(key, "__no").agg(F.min(start).alias("s"), F.max(end).alias("e"), F.count("*").alias("members")).drop("__no")

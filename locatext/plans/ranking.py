@@ -35,7 +35,8 @@ _IV = "i AS (SELECT l_suppkey AS k, l_linenumber * 100 + CAST(l_quantity AS BIGI
 
 @query(f"WITH {_IV}, f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM i), g AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS no FROM f) SELECT k, min(s) AS s, max(e) AS e, count(*) AS members FROM g GROUP BY k, no")
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = F.col("l_linenumber") * 100 + F.col("l_quantity").cast("long")
+    # Rounded half to even, as the SQL's cast does; Spark's cuts the fraction off.
+    start = F.col("l_linenumber") * 100 + F.rint("l_quantity").cast("long")
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), start.alias("a"), (start + 1 + F.col("l_partkey") % 2).alias("b"))
     return G.merge_intervals(rows, "k", "a", "b")
 

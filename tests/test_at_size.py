@@ -61,3 +61,25 @@ def test_variants_of_keys_of_seven_digits_and_more(spark, tmp_path):
     keys = [0, 7, 99999, 100000, 999999, 1000003, 8999999, 12345678901, 100000, 1000003, -5, -123456, None]
     got = same_as_sql(spark, tmp_path, "rfi_variants", "orders", [(k,) for k in keys], "o_orderkey long")
     assert len(got) == 9 and (1000003, "rfi 100000", "rfi 1000003") in [r[:3] for r in got]
+
+
+def test_islands_of_fractions_and_nulls(spark, tmp_path):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([1, 2, 3, None]), rnd.choice([1, 2, None]), rnd.randrange(40) / 2, rnd.choice([7, 8, None])) for _ in range(400)]
+    rows += [(9, 1, 5.0, 2), (9, 1, 5.0, None), (10, 1, 5.0, 2), (10, 1, 6.5, 2), (10, 1, 7.5, 2)]
+    same_as_sql(spark, tmp_path, "interval_merge", "lineitem", rows, "l_suppkey long, l_linenumber int, l_quantity double, l_partkey long")
+
+
+def test_islands_of_rows_that_tie_do_not_overlap(spark):
+    from locatext.operators import fragments
+
+    rnd = random.Random(10)
+    rows = [(k, s, s + 1 + rnd.randrange(2)) for k in range(40) for s in (rnd.randrange(60) for _ in range(80))]
+    want = []
+    for k, s, e in sorted(rows):
+        if want and want[-1][0] == k and s <= want[-1][2]:
+            want[-1][2:] = [max(e, want[-1][2]), want[-1][3] + 1]
+        else:
+            want.append([k, s, e, 1])
+    got = fragments.merge_intervals(spark.createDataFrame(rows, "k long, a long, b long"), "k", "a", "b")
+    assert sorted(map(list, got.collect())) == want
