@@ -30,6 +30,8 @@ from locatext.llm.arrays import bound_batches
 SHORT_WORD = 48
 #: Words kept encoded per worker; the memo is emptied when full (results never depend on it).
 MEMO_WORDS = 500_000
+#: Characters that these hold: without spaces, a run is as long as a piece.
+MEMO_CHARS = 1 << 23
 #: Texts are encoded in pieces of about this many characters, cut where a word must end.
 PIECE_CHARS = 1 << 18
 #: Characters of texts whose new words are merged together.
@@ -129,6 +131,7 @@ class ByteBpe:
             self._steps = max(self._steps, at - slot + 1)
         #: Keyed by the text after a break: decimal ids, decoded bytes, number of ids.
         self.runs: dict[str, Entry] = {}
+        self._held = 0
         self._said = {i: str(i) for i in self.token_bytes}
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
@@ -244,10 +247,13 @@ class ByteBpe:
         """Encode those of ``runs`` not known yet, all their words together. A full memo
         keeps only the runs asked for."""
         new = [r for r in runs if r not in self.runs]
-        if len(self.runs) + len(new) > MEMO_WORDS:
+        size = sum(map(len, new))
+        if len(self.runs) + len(new) > MEMO_WORDS or self._held + size > MEMO_CHARS:
             self.runs = {r: self.runs[r] for r in runs if r in self.runs}
+            self._held = sum(map(len, self.runs))
         if not new:
             return
+        self._held += size
         split = list(map(_words_of, new))
         words = list(dict.fromkeys(chain.from_iterable(split)))
         entry = dict(zip(words, map(self._entry, self.encode_words([w.encode() for w in words])), strict=True))

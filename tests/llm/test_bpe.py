@@ -57,6 +57,18 @@ def test_pieces_and_full_memo_change_nothing(both, monkeypatch):
     assert (n, a, b) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_long_runs_do_not_pile_up_in_the_memo(both, monkeypatch):
+    own, lib = both
+    monkeypatch.setattr(bpe, "MEMO_CHARS", 5000, raising=False)
+    own.runs.clear()
+    rnd = random.Random(7)
+    texts = ["x " + "".join(rnd.choice("abcdefghij日本語") for _ in range(400)) + " the" for _ in range(60)]
+    for t in texts:
+        (found,) = own.encode_many([t])
+        assert ",".join(said for said, _, _ in found) == ",".join(map(str, lib.encode(t, add_special_tokens=False).ids))
+        assert sum(map(len, own.runs)) <= 5000
+
+
 def test_rows(spark, both):
     rows = [(1, None, "x"), (2, "", "x"), (3, "hi there", "x"), (3, "hi there", "x"), (None, "hi", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
